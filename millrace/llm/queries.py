@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, simhash
+from . import ans, mixing, quality, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def word_bpe() -> str:
+    """The public tokenizer's file; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ans.output(table(spark, sf_dir, "documents"), word_bpe())
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex16(F.col("bits")).alias("fingerprint"), "component_id", "n_links")
@@ -30,6 +41,6 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op4_simhash, op7_mixing, op9_secrets)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_token_output, op4_simhash, op7_mixing, op9_secrets)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}

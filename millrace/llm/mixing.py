@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WEIGHTS, MOST, STEPS, BUCKET_ROWS = (1.0, 2.0, 3.0), 3, 60, 20_000
+WEIGHTS, MOST, STEPS, BUCKET_ROWS = (1.0, 2.0, 3.0), 3, 60, 2_000
 
 
 def n_words(text: Column) -> Column:

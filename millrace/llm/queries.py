@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, ans, contextmix, mixing, quality, secrets, simhash
+from . import anchors, ans, contextmix, decontam, mixing, quality, secrets, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_quality_rules, op3_token_output, op4_simhash, op7_mixing, op8_context_mixing, op9_secrets, op10_anchors)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_token_output, op4_simhash, op7_mixing, op8_context_mixing, op9_secrets, op10_anchors)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}

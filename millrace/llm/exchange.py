@@ -150,11 +150,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def rolled(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Polynomial hash of each window of `width` values; one entry for each place where a window fits."""
+    """Polynomial hash of each window of `width` values, by doubling; one entry for each place where a window fits."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    total, power = np.zeros(n, np.uint64), np.uint64(base)
-    for k in range(width):
-        total = total * power + values[k : k + n]
-    return mixed(total)
+    power = lambda k: np.uint64(pow(base, k, 1 << 64))
+    block, size, total, held, left = values, 1, None, 0, width
+    while True:
+        if left & 1:
+            total = block if total is None else block[: len(total) - size] * power(held) + total[size:]
+            held += size
+        left >>= 1
+        if not left:
+            return mixed(total[:n])
+        block = block[:-size] * power(size) + block[size:]
+        size *= 2

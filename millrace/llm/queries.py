@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, ans, contextmix, decontam, kneser, mixing, quality, secrets, simhash
+from . import anchors, ans, contextmix, decontam, kneser, mixing, quality, secrets, simhash, sufarr
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sufarr.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.balanced(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -58,6 +63,6 @@ def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_token_output, op4_simhash, op5_kneser_ney, op7_mixing, op8_context_mixing, op9_secrets, op10_anchors)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_token_output, op4_simhash, op5_kneser_ney, op6_suffix_array, op7_mixing, op8_context_mixing, op9_secrets, op10_anchors)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
 ORACLES: dict[str, str] = {}

@@ -48,8 +48,16 @@ def dropped(df: DataFrame) -> None:
 
 
 def narrowed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The named columns only; a missing one is null text. Extra columns, whatever their names, don't go on."""
-    return docs.select(*(F.col(f"`{c}`") for c in columns))
+    """The named columns only, ids as longs; extra columns, whatever their names, don't go on."""
+    return docs.select(*(F.col("doc_id").cast("long").alias(c) if c == "doc_id" else F.col(f"`{c}`") for c in columns))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def raw(column: pa.Array) -> list[bytes]:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 WEIGHTS, MOST, STEPS, BUCKET_ROWS = (1.0, 2.0, 3.0), 3, 60, 2_000
 
 
@@ -58,7 +60,7 @@ def tilt(size: Column, target: Column, steps: int = STEPS) -> Column:
 
 def balanced(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, source_size, target, rate, copies, taken: one row for each document."""
-    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
+    sized = docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("mark"))
     per_source = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("source_size"))
     solved = targets(per_source, weights, most)
     rate = F.least(F.lit(float(most)), F.coalesce(F.exp(tilt(F.col("source_size").cast("double"), F.col("target"))), F.lit(0.0)))
@@ -90,7 +92,9 @@ def rounded(rows: DataFrame, most: int = MOST) -> DataFrame:
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, with all its columns."""
     copies = balanced(docs, weights, most)
-    # Rows of equal id may differ in their copies; their sum is dealt to one of them.
-    counts = copies.groupBy("doc_id").agg(F.sum("copies").alias("copies")).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(counts, F.col("doc_id").eqNullSafe(F.col("__id"))).where("copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    own, times, copy = (common.fresh(docs, n) for n in ("mixed_id", "mixed_times", "mixed_copy"))
+    # Rows of equal id share their copies out: each is taken as often as the mix takes them together, over their number.
+    counts = copies.groupBy("doc_id").agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias(copy)).withColumnRenamed("doc_id", own)
+    rows = docs.join(counts, docs["doc_id"].eqNullSafe(counts[own])).withColumn(times, F.round(F.col(times) / F.col(copy)).cast("long")).drop(copy)
+    taken = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))
+    return rows.where(F.col(times) > 0).withColumn(copy, taken).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -136,9 +136,7 @@ def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
 def kept_documents(docs: DataFrame, policy: str = "v1") -> DataFrame:
     """Pipeline stage: the documents a policy keeps, with all their columns; rows aren't matched by id, so null or
     repeated ids do no harm."""
-    at, own = docs.columns.index("text"), "ledger"
-    while own in docs.columns:
-        own += "_"
+    at, own = docs.columns.index("text"), common.fresh(docs, "ledger")
     kinds = pa.struct([(m, pa.int64()) for m in MEASURES])
 
     def run(batches):

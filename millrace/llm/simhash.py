@@ -113,6 +113,7 @@ def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
 
     Rows with a null id aren't comparable and stay."""
     found = near_duplicates(docs, distance, blocks)
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    known = docs.join(firsts, F.col("doc_id") == F.col("__first"), "left_semi").dropDuplicates(["doc_id"])
+    own = common.fresh(docs, "first_id")
+    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    known = docs.join(firsts, docs["doc_id"] == firsts[own], "left_semi").dropDuplicates(["doc_id"])
     return known.unionAll(docs.where(F.col("doc_id").isNull()))

@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -195,7 +196,7 @@ class Tokenizer(dict):
     one after another. Plain words are parted as the tokenizer's pattern does and their pieces go to its BPE model; any
     other word goes through the whole tokenizer."""
 
-    LIMIT = 400_000
+    LIMIT, PIECES_LIMIT = 800_000, 600_000
 
     def __init__(self, path: str):
         import tokenizers
@@ -203,29 +204,29 @@ class Tokenizer(dict):
         super().__init__()
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.model, self.letters = self.whole.model, byte_letters()
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         self.reset()
 
     def reset(self) -> None:
         self.clear()
-        self.pieces.clear()
-        self.sizes, self.ids = [1], [END]  # run 0: the end of a document
+        self.sizes, self.ids = array("I", [1]), array("I", [END])  # run 0: the end of a document
 
     def __missing__(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
         if PLAIN.fullmatch(text) and "<|" not in text:
-            found = [i for p in PIECES.findall(text.lower()) for i in self.piece(p)]
+            found = b"".join([self.pieces.get(p) or self.piece(p) for p in PIECES.findall(text.lower())])
         else:
-            found = self.whole.encode(text, add_special_tokens=False).ids
+            found = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         self[word] = n = len(self.sizes)
-        self.sizes.append(len(found))
-        self.ids += found
+        self.sizes.append(len(found) // 4)
+        self.ids.frombytes(found)
         return n
 
-    def piece(self, text: str) -> list[int]:
-        if (found := self.pieces.get(text)) is None:
-            spelt = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
-            found = self.pieces[text] = [x.id for x in self.model.tokenize(spelt)]
+    def piece(self, text: str) -> bytes:
+        if len(self.pieces) >= self.PIECES_LIMIT:
+            self.pieces.clear()
+        spelt = text if text.isascii() else "".join(self.letters[b] for b in text.encode())
+        found = self.pieces[text] = array("I", [x.id for x in self.model.tokenize(spelt)]).tobytes()
         return found
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -233,13 +234,13 @@ class Tokenizer(dict):
         if len(self) > self.LIMIT:
             self.reset()
         words, counts = common.flat_words(texts)
-        runs = np.fromiter((self[w] for w in words), np.int64, len(words))
+        runs = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         runs = np.insert(runs, np.cumsum(counts), 0)
-        sizes = np.array(self.sizes, np.int64)
+        sizes = np.array(self.sizes, dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         own = sizes[runs]
         place = np.repeat(starts[runs] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())
-        return np.array(self.ids, np.uint32)[place], common.sums(own, counts + 1)
+        return np.frombuffer(self.ids, np.uint32)[place], common.sums(own, counts + 1)
 
 
 @cache

@@ -4,8 +4,8 @@ Rates r minimise sum size * (r log r - r) under sum size * r = target for each s
 sum_s S_s exp(l_s) - l_s T_s, and splits by source: documents of a source are tilted alike, r = exp(l_s), and each Newton
 step needs the moments S_s of a source only, which one aggregation yields. Newton runs inside the plan, as a fold over a
 fixed number of steps. Rates are then rounded into whole copies: in salted buckets of a source, every 1/f-th document by
-size gets the extra copy, and what remains is evened out over the smallest documents, so a bucket misses its share by less
-than one small document. No bucket grows with its source.
+size gets the extra copy, what remains is evened out over the smallest documents, and then a few times by the document
+whose size fits best, so a bucket misses its share by less than one small document. No bucket grows with its source.
 
 Null text: size 0. Null sources are one source, listed last. Null or repeated ids: rows are mixed like others, ties go by
 id and then by a hash of the text. Tables without words give targets 0. Other columns aren't read.
@@ -13,12 +13,12 @@ id and then by a hash of the text. Tables without words give targets 0. Other co
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from . import common
 
-WEIGHTS, MOST, STEPS, BUCKET_ROWS = (1.0, 2.0, 3.0), 3, 60, 2_000
+WEIGHTS, MOST, STEPS, BUCKET_ROWS, MENDS = (1.0, 2.0, 3.0), 3, 60, 2_000, 3
 
 
 def n_words(text: Column) -> Column:
@@ -85,10 +85,23 @@ def rounded(rows: DataFrame, most: int = MOST) -> DataFrame:
     small = part.orderBy(F.col("size").asc(), "doc_id", "mark").rowsBetween(Window.unboundedPreceding, 0)
     moved = F.sum(F.when(up | down, F.col("size")).otherwise(0)).over(small)
     mend = F.when(moved <= F.abs("miss"), F.when(up, 1).when(down, -1).otherwise(0)).otherwise(0)
-    rows = rows.withColumn("copies", F.col("copies") + mend)
+    rows = rows.withColumn("copies", F.col("copies") + mend).withColumn("rn", rn)
+    for _ in range(MENDS):
+        rows = _mended(rows, part, most)
     return rows.select("doc_id", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def _mended(rows: DataFrame, part: WindowSpec, most: int) -> DataFrame:
+    """One document of each bucket, that whose size is nearest to what is missing, gets a copy more or less if that helps."""
+    miss = F.round(F.sum(F.col("rate") * F.col("size")).over(part) - F.sum(F.col("copies") * F.col("size")).over(part)).cast("long")
+    rows = rows.withColumn("miss", miss)
+    can = ((F.col("miss") > 0) & (F.col("copies") < most)) | ((F.col("miss") < 0) & (F.col("copies") > 0))
+    off = F.abs(F.col("size") - F.abs("miss"))
+    best = F.min(F.when(can & (off < F.abs("miss")), F.struct(off.alias("off"), F.col("rn")))).over(part)
+    step = F.when(best["rn"] == F.col("rn"), F.signum("miss")).otherwise(0).cast("long")
+    return rows.withColumn("copies", F.col("copies") + step)
+
+
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """Pipeline stage: each document as often as the mix takes it, with all its columns."""
     copies = balanced(docs, weights, most)

@@ -74,16 +74,16 @@ def dealt(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 def pack(rows: Rows, owner: np.ndarray, keys: np.ndarray, n: int, marks: np.ndarray | None = None, more: np.ndarray | None = None) -> pa.Table:
     """One row for each bucket that has keys. owner: index of the key's document, ascending; more: 64 further bits."""
     order, starts = dealt(keys, n)
-    ids = zlib.compress(np.diff(rows.ids, prepend=0).astype("<i8").tobytes(), 1)
     cols: dict[str, list] = {f.name: [] for f in PACKED_ARROW}
     for b in np.flatnonzero(np.diff(starts)).tolist():
         own = order[starts[b] : starts[b + 1]]
         data = (keys[own] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
         if more is not None:
             data += more[own].astype("<u8").tobytes()
-        runs = np.bincount(owner[own], minlength=len(rows.ids)).astype("<u4").tobytes()
+        docs, runs = np.unique(owner[own], return_counts=True)
+        ids = zlib.compress(np.diff(rows.ids[docs], prepend=0).astype("<i8").tobytes(), 1)
         flags = np.packbits(marks[own]).tobytes() if marks is not None else b""
-        for name, value in zip(cols, (b, rows.chunk, ids, zlib.compress(runs, 1), zlib.compress(flags, 1), data)):
+        for name, value in zip(cols, (b, rows.chunk, ids, zlib.compress(runs.astype("<u4").tobytes(), 1), flags, data)):
             cols[name].append(value)
     return pa.Table.from_pydict(cols, PACKED_ARROW)
 
@@ -109,7 +109,7 @@ class Entries:
             docs.append(np.repeat(ids, runs))
             keys.append(np.frombuffer(r["keys"], "<u4", n))
             more.append(np.frombuffer(r["keys"], "<u8", offset=4 * n) if len(r["keys"]) > 4 * n else np.zeros(n, np.uint64))
-            flags = zlib.decompress(r["marks"])
+            flags = r["marks"]
             marks.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool) if flags else np.ones(n, bool))
         starts = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
         return cls(*map(np.concatenate, (docs, keys, marks, more)), table["chunk"].to_pylist(), starts)

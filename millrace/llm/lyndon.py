@@ -10,10 +10,11 @@ the unplaced suffixes on the chain of pointers before it at the front of their g
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 
-def grouped(text: Sequence[int]) -> tuple[list[list[int]], list[int]]:
+def grouped(text: Sequence[int]) -> tuple[list[list[int]], array]:
     """Groups of suffixes by Lyndon prefix, lowest first, and the pointers; text[i] >= 0, and -1 is the end's pointer."""
     n = len(text)
     first: dict[int, list[int]] = {}
@@ -23,15 +24,15 @@ def grouped(text: Sequence[int]) -> tuple[list[list[int]], list[int]]:
         else:
             first[c] = [i]
     members = [first[c] for c in sorted(first)]
-    group = [0] * n
+    group = array("q", bytes(8 * n))
     for g, own in enumerate(members):
         for i in own:
             group[i] = g
-    below = list(range(-1, len(members) - 1))  # the group right below each, -1 for none
-    above = list(range(1, len(members) + 1))
+    below = array("q", range(-1, len(members) - 1))  # the group right below each, -1 for none
+    above = array("q", range(1, len(members) + 1))
     top = len(members) - 1
-    prev = [-1] * n
-    open_ = [True] * n
+    prev = array("q", [-1]) * n
+    open_ = bytearray(b"\1") * n
     done: list[list[int]] = []
     while top >= 0:
         own = [i for i in members[top] if group[i] == top]
@@ -41,7 +42,7 @@ def grouped(text: Sequence[int]) -> tuple[list[list[int]], list[int]]:
             own.sort()
             done.append(own)
             for i in own:
-                open_[i] = False
+                open_[i] = 0
             votes: dict[int, int] = {}
             for i in own:
                 j = i - 1
@@ -77,21 +78,22 @@ def grouped(text: Sequence[int]) -> tuple[list[list[int]], list[int]]:
     return done, prev
 
 
-def suffix_array(text: Sequence[int]) -> list[int]:
+def suffix_array(text: Sequence[int]) -> array:
     """Starts of all suffixes of a text in ascending order; symbols are integers of at least 0."""
     n = len(text)
     if not n:
-        return []
+        return array("q")
     groups, prev = grouped(text)
-    slot = [0] * n  # the next free place of each suffix's group, kept at the group's number
-    number = [0] * n
+    slot = array("q", bytes(8 * len(groups)))  # the next free place of each group
+    number = array("q", bytes(8 * n))
     at = 0
     for g, own in enumerate(groups):
         slot[g] = at
         for i in own:
             number[i] = g
         at += len(own)
-    out = [-1] * n
+    del groups
+    out = array("q", bytes(8 * n))
     j = n - 1  # the chain before the end of the text
     rank = 0
     while True:

@@ -26,7 +26,7 @@ from .anchors import runs_of
 from .exchange import ANSWER, PACKED, PACKED_ARROW, Entries, Rows, chunked, dealt, empty, pack, places, rolled
 from .lyndon import suffix_array
 
-WIDTH, K, CHUNK_BYTES, PIECE = 50, 20, 4 << 20, 1 << 19
+WIDTH, K, CHUNK_BYTES, PIECE = 50, 20, 3 << 20, 1 << 19
 SPREAD = WIDTH - K  # an anchor lies at most so many bytes into its string
 BASE = 0x9E3779B97F4A7C15
 
@@ -174,7 +174,7 @@ def repeated(segments: list[bytes], docs: np.ndarray, width: int = WIDTH) -> tup
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     text = np.frombuffer(joined, np.uint8)[: int(sizes.sum()) + len(sizes)].astype(np.int64) + 1
     text[starts + sizes] = 0  # parts the segments, below any byte
-    order = np.array(suffix_array(text.tolist()), np.int64)
+    order = np.frombuffer(suffix_array(text.tolist()), np.int64)
     owner = np.repeat(np.arange(len(segments)), sizes + 1)
     order = order[order + width <= (starts + sizes)[owner[order]]]
     if not len(order):

@@ -82,7 +82,7 @@ def test_suffix_arrays():
     cases = [[r.randint(0, a) for _ in range(n)] for n in (0, 1, 2, 3, 10, 50, 200) for a in (0, 1, 2, 5, 255) for _ in range(15)]
     cases += [list(b"abracadabra" * 30), list(b"a" * 300), list(b"ab" * 150), list(bytes(range(256)))]
     for s in cases:
-        assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+        assert list(suffix_array(s)) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
 def test_groups_are_by_lyndon_prefix():

@@ -1,9 +1,9 @@
 """Substring dedup over bytes by suffix arrays.
 
 A byte goes if a string of WIDTH bytes over it also starts in a document of smaller id. To bring equal strings together
-without sorting all suffixes of the corpus, every string of WIDTH bytes is known by an anchor: the K-gram of least
+without sorting all suffixes of the corpus, every string of WIDTH bytes is known by an anchor: the leftmost K-gram of least
 hash within it, which depends on the string alone. Anchors of one document only are dropped. Around each other anchor lies
-a segment, all bytes of the strings that it can stand for. Equal segments of an anchor collapse to the one of smallest
+a segment, all bytes of the strings that it stands for. Equal segments of an anchor collapse to the one of smallest
 id; the others are covered by it. What remains, segments that share an anchor but differ, meets in a bucket, where a suffix
 array (see lyndon) over all of them puts equal strings side by side and so tells for every string the smallest document.
 All that travels is packed (see exchange): 4 bytes for an anchor, 12 for a shared one, the segment for those that differ.
@@ -14,6 +14,7 @@ null ids neither cover nor are covered. An empty table gives no rows; other colu
 
 from __future__ import annotations
 
+import copy
 import zlib
 
 import numpy as np
@@ -28,53 +29,48 @@ from .lyndon import suffix_array
 
 WIDTH, K, CHUNK_BYTES, PIECE = 50, 20, 3 << 20, 1 << 19
 SPREAD = WIDTH - K  # an anchor lies at most so many bytes into its string
+PLACE_BITS = 20  # of a place within a piece of PIECE bytes and the string that crosses its end
 BASE = 0x9E3779B97F4A7C15
 
 
-def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
-    """least (np.minimum or np.maximum) over every window, by doubling."""
+def sliding(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of every window, by doubling."""
     n, size = len(x) - width + 1, 1
     while 2 * size <= width:
-        x = least(x[:-size], x[size:])
+        x = np.minimum(x[:-size], x[size:])
         size *= 2
-    return least(x[:n], x[width - size : width - size + n])
+    return np.minimum(x[:n], x[width - size : width - size + n])
 
 
-def anchors_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of one text (at least WIDTH bytes long): K-grams that are least in some string."""
+def anchors_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of one text of at least WIDTH bytes: place and hash, and the first and last of the strings it stands for.
+
+    A string's anchor is its leftmost K-gram of least hash, so strings with one anchor are neighbours."""
     grams = rolled(text.astype(np.uint64), K, BASE)
-    order = grams >> np.uint64(1)
-    lows = sliding(order, SPREAD + 1, np.minimum)
-    edge = np.zeros(SPREAD, np.uint64)
-    reach = sliding(np.concatenate([edge, lows, edge]), SPREAD + 1, np.maximum)
-    at = np.flatnonzero(order == reach)
-    return at, grams[at]
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    least = sliding((grams & ~low) | np.arange(len(grams), dtype=np.uint64), SPREAD + 1)
+    at = (least & low).astype(np.int64)
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], grams[at[first]], first, np.append(first[1:], len(at)) - 1
 
 
 class Anchors:
-    """A chunk's anchors, in order of place, and the segment around each."""
+    """A chunk's anchors, in order of place, and the segment of each: all bytes of the strings that it stands for."""
 
     def __init__(self, rows: Rows):
         self.rows = rows
         sizes = np.array([len(t) for t in rows.texts], np.int64)
         self.data = b"".join(rows.texts)
         ends = np.cumsum(sizes)
-        at, keys, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        none = np.zeros(0, np.int64)
+        found = [(none, none.astype(np.uint64), none, none, none)]
         for i in np.flatnonzero(rows.known & (sizes >= WIDTH)).tolist():
-            text = np.frombuffer(rows.texts[i], np.uint8)
-            # Pieces of a long text overlap by what a string and the strings around it need.
-            for a in range(0, max(1, len(text) - WIDTH + 1), PIECE):
-                lead = min(a, SPREAD)
-                place, key = anchors_of(text[a - lead : a + PIECE + WIDTH - 1 + SPREAD])
-                place += a - lead
-                own = (place >= a) & (place < a + PIECE) if a + PIECE <= len(text) - WIDTH else place >= a
-                at.append(place[own] + ends[i] - sizes[i])
-                keys.append(key[own])
-                owner.append(np.full(int(own.sum()), i))
-        self.at, self.keys, self.owner = map(np.concatenate, (at, keys, owner))
+            text, base = np.frombuffer(rows.texts[i], np.uint8), ends[i] - sizes[i]
+            for a in range(0, len(text) - WIDTH + 1, PIECE):
+                at, keys, first, last = anchors_of(text[a : a + PIECE + WIDTH - 1])
+                found.append((at + base + a, keys, first + base + a, last + base + a + WIDTH, np.full(len(at), i)))
+        self.at, self.keys, self.start, self.end, self.owner = map(np.concatenate, zip(*found))
         self.ends, self.sizes = ends, sizes
-        self.start = np.maximum(self.at - SPREAD, (ends - sizes)[self.owner])
-        self.end = np.minimum(self.at + WIDTH, ends[self.owner])
 
     def only(self, which: np.ndarray) -> None:
         for name in ("at", "keys", "owner", "start", "end"):
@@ -136,8 +132,9 @@ def collapsed(key: tuple, table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-SEGMENTS = "bucket int, chunk int, docs binary, sizes binary, data binary"
-SEGMENTS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("docs", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())])
+SEGMENTS = "bucket int, chunk int, docs binary, keys binary, sizes binary, data binary"
+SEGMENTS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("docs", "keys", "sizes", "data"))])
+BATCH = 1 << 19  # bytes of segments that a suffix array covers, or those of one anchor
 
 
 def _step(answers: pa.Table, step: int) -> pa.Table:
@@ -150,18 +147,27 @@ def _differing(table: pa.Table, answers: pa.Table, n: int) -> tuple[Rows, Anchor
     return rows, a, places(_step(answers, 1), a.keys, n), np.flatnonzero(places(_step(answers, 2), a.keys, n))
 
 
+def _once(a: Anchors) -> tuple[np.ndarray, np.ndarray]:
+    """One of all equal segments of an anchor and a document, and for each segment the number of its like."""
+    same = np.stack([a.keys, a.digests(), a.owner.astype(np.uint64)])
+    _, first, number = np.unique(same, axis=1, return_index=True, return_inverse=True)
+    return first, number.ravel()
+
+
 def detailed(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
     """The segments that differ, one row for each bucket."""
     if not left.num_rows:
         return empty(SEGMENTS_ARROW)
     rows, a, _, own = _differing(left, right, n)
     a.only(own)
+    a.only(_once(a)[0])
     order, starts = dealt(a.keys, n)
     cols: dict[str, list] = {f.name: [] for f in SEGMENTS_ARROW}
     for b in np.flatnonzero(np.diff(starts)).tolist():
         at = order[starts[b] : starts[b + 1]]
         data = b"".join(a.data[x:y] for x, y in zip(a.start[at].tolist(), a.end[at].tolist()))
-        packed = (rows.ids[a.owner[at]].astype("<i8").tobytes(), (a.end - a.start)[at].astype("<u2").tobytes(), data)
+        keys = (a.keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
+        packed = (rows.ids[a.owner[at]].astype("<i8").tobytes(), keys, (a.end - a.start)[at].astype("<u2").tobytes(), data)
         for name, value in zip(cols, (b, rows.chunk, *(zlib.compress(x, 1) for x in packed))):
             cols[name].append(value)
     return pa.Table.from_pydict(cols, SEGMENTS_ARROW)
@@ -196,16 +202,26 @@ MASKS_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("masks"
 
 def sorted_out(key: tuple, table: pa.Table) -> pa.Table:
     """For each segment of a bucket, a bit for each of its strings that a smaller document has."""
-    segments, docs, counts = [], [], []
+    segments, docs, keys, counts = [], [], [], []
     for r in table.to_pylist():
         sizes, data = np.frombuffer(zlib.decompress(r["sizes"]), "<u2").astype(int), zlib.decompress(r["data"])
         ends = np.cumsum(sizes)
         segments += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         docs.append(np.frombuffer(zlib.decompress(r["docs"]), "<i8"))
+        keys.append(np.frombuffer(zlib.decompress(r["keys"]), "<u4"))
         counts.append(len(sizes))
-    at, start = repeated(segments, np.concatenate(docs))
-    masks = np.zeros(len(segments), np.uint32)
-    np.bitwise_or.at(masks, at, np.uint32(1) << start.astype(np.uint32))
+    docs, keys, masks = np.concatenate(docs), np.concatenate(keys), np.zeros(len(segments), np.uint32)
+    # Equal strings have equal anchors, so anchors can be taken a few at a time.
+    order = np.argsort(keys, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(keys[order], prepend=-1)), len(order))
+    total = np.concatenate([[0], np.cumsum([len(segments[i]) for i in order.tolist()])])
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(total[cuts], total[cuts[a]] + BATCH, "right")) - 1)
+        own = order[cuts[a] : cuts[b]]
+        at, start = repeated([segments[i] for i in own.tolist()], docs[own])
+        np.bitwise_or.at(masks, own[at], np.uint32(1) << start.astype(np.uint32))
+        a = b
     ends = np.cumsum(counts)
     parts = [zlib.compress(masks[a:b].astype("<u4").tobytes(), 1) for a, b in zip(ends - counts, ends)]
     return pa.Table.from_pydict({"chunk": table["chunk"].to_pylist(), "bucket": [key[0].as_py()] * len(parts), "masks": parts}, MASKS_ARROW)
@@ -223,11 +239,15 @@ def removed(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
     edge = np.zeros(len(a.data) + 1, np.int32)
     np.add.at(edge, a.start[whole], 1)
     np.add.at(edge, a.end[whole], -1)
-    masks = np.zeros(len(own), np.uint32)
-    order, starts = dealt(a.keys[own], n)
+    differ = copy.copy(a)
+    differ.only(own)
+    once, number = _once(differ)
+    masks = np.zeros(len(once), np.uint32)
+    order, starts = dealt(differ.keys[once], n)
     replies = _step(right, 3)
     for b, data in zip(replies["bucket"].to_pylist(), replies["entries"].to_pylist()):
         masks[order[starts[b] : starts[b + 1]]] = np.frombuffer(zlib.decompress(data), "<u4")
+    masks = masks[number]
     for bit in range(SPREAD + 1):
         at = a.start[own[(masks >> np.uint32(bit)) & 1 == 1]] + bit
         np.add.at(edge, at, 1)

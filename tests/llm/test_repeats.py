@@ -68,6 +68,29 @@ def test_dense_repeats(spark):
     assert sorted(map(tuple, got)) == kept_bytes(rows)
 
 
+def test_anchors_in_batches(spark, corpus, monkeypatch):
+    """Few anchors at a time give the same: run in this process, without executors."""
+    import pyarrow as pa
+
+    r = random.Random(1)
+    texts = [bytes(r.choice(b"ab") for _ in range(70)) for _ in range(40)]
+    keys = [sum(t[30:34]) % 3 for t in texts]
+    table = lambda own: pa.Table.from_pylist([{"bucket": 0, "chunk": 5, **{n: sufarr.zlib.compress(x) for n, x in (
+        ("docs", np.array([i for i in own], "<i8").tobytes()), ("keys", np.array([keys[i] for i in own], "<u4").tobytes()),
+        ("sizes", np.array([70 for _ in own], "<u2").tobytes()), ("data", b"".join(texts[i] for i in own)))}}], sufarr.SEGMENTS_ARROW)
+    found = []
+    for batch in (1, 200, 1 << 20):
+        monkeypatch.setattr(sufarr, "BATCH", batch)
+        masks = sufarr.sorted_out((pa.scalar(0),), table(range(40)))["masks"][0].as_py()
+        found.append(np.frombuffer(sufarr.zlib.decompress(masks), "<u4").tolist())
+    for k in range(3):
+        own = [i for i in range(40) if keys[i] == k]
+        for i in own:
+            want = sum(1 << t for t in range(21) if any(texts[i][t : t + 50] in texts[j] for j in own if j < i))
+            assert found[0][i] == want
+    assert found[0] == found[1] and all(a | b == b for a, b in zip(found[0], found[2]))
+
+
 def test_edge_cases(odd, none):
     for f in (anchors.deduplicated, sufarr.deduplicated):
         assert f(none).count() == 0
@@ -103,16 +126,17 @@ def test_every_string_has_an_anchor():
     r = np.random.default_rng(2)
     for n, top in ((50, 256), (300, 3), (5000, 2), (400, 1)):
         text = r.integers(0, top, n).astype(np.uint8)
-        at = set(sufarr.anchors_of(text)[0].tolist())
+        at, _, first, last = sufarr.anchors_of(text)
+        assert first[0] == 0 and last[-1] == n - 50 and (first[1:] == last[:-1] + 1).all() and (last - first <= 30).all()
         for i in range(n - 49):
             own = sufarr.anchors_of(text[i : i + 50])[0]
-            assert len(own) and {i + p for p in own.tolist()} <= at
+            assert len(own) == 1 and at[np.searchsorted(last, i)] == i + own[0]
     rows = exchange.Rows(0, np.array([1]), np.array([True]), [r.integers(97, 123, 3000).astype(np.uint8).tobytes()])
     whole = sufarr.Anchors(rows).at.tolist()
     old, sufarr.PIECE = sufarr.PIECE, 100
     try:
-        assert set(sufarr.Anchors(rows).at.tolist()) >= set(whole)
-        assert sorted(sufarr.Anchors(rows).at.tolist()) == sorted(whole)
+        cut = sufarr.Anchors(rows)
+        assert set(cut.at.tolist()) == set(whole) and (np.diff(cut.start) > 0).all() and cut.end[-1] == 3000
     finally:
         sufarr.PIECE = old
 

@@ -30,15 +30,40 @@ def grouped(text: Sequence[int]) -> tuple[list[list[int]], array]:
             group[i] = g
     below = array("q", range(-1, len(members) - 1))  # the group right below each, -1 for none
     above = array("q", range(1, len(members) + 1))
+    size = array("q", map(len, members))
     top = len(members) - 1
     prev = array("q", [-1]) * n
     open_ = bytearray(b"\1") * n
     done: list[list[int]] = []
+
+    def parted(own: list[int], h: int) -> None:
+        """Moves some of a group's suffixes to a new group right above it; the group in hand is higher still."""
+        new, up = len(members), above[h]
+        members.append(own)
+        for j in own:
+            group[j] = new
+        size[h] -= len(own)
+        size.append(len(own))
+        below.append(h)
+        above.append(up)
+        above[h] = below[up] = new
+
     while top >= 0:
-        own = [i for i in members[top] if group[i] == top]
+        own = members[top]
+        if size[top] < len(own):
+            own = [i for i in own if group[i] == top]
         members[top] = []
-        under = below[top]
-        if own:
+        if len(own) == 1:
+            i = own[0]
+            done.append(own)
+            open_[i] = 0
+            j = i - 1
+            while j >= 0 and not open_[j]:
+                j = prev[j]
+            prev[i] = j
+            if j >= 0 and size[group[j]] > 1:
+                parted([j], group[j])
+        elif own:
             own.sort()
             done.append(own)
             for i in own:
@@ -51,27 +76,18 @@ def grouped(text: Sequence[int]) -> tuple[list[list[int]], array]:
                 prev[i] = j
                 if j >= 0:
                     votes[j] = votes.get(j, 0) + 1
-            if votes:
-                # Lists of (group, votes): the new groups, in order of votes above each old group.
-                moved: dict[tuple[int, int], list[int]] = {}
-                for j, k in votes.items():
-                    t = (k, group[j])
-                    if t in moved:
-                        moved[t].append(j)
-                    else:
-                        moved[t] = [j]
-                for k, h in sorted(moved, reverse=True):
-                    new = len(members)
-                    members.append(moved[k, h])
-                    for j in moved[k, h]:
-                        group[j] = new
-                    up = above[h]
-                    below.append(h)
-                    above.append(up)
-                    above[h] = new
-                    below[up] = new  # the group in hand is the highest, so there always is one above
-                under = below[top]
-        top = under
+            # The new groups by votes and old group, the most votes first. What is left of a group alone stays in it.
+            moved: dict[tuple[int, int], list[int]] = {}
+            for j, k in votes.items():
+                t = (k, group[j])
+                if t in moved:
+                    moved[t].append(j)
+                else:
+                    moved[t] = [j]
+            for t in sorted(moved, reverse=True):
+                if len(moved[t]) < size[t[1]]:
+                    parted(moved[t], t[1])
+        top = below[top]
         if top >= 0:
             above[top] = -1
     done.reverse()

@@ -1,8 +1,8 @@
 """Change feeds: a folder of change files applied to a table, as a follower replays a log.
 
 A change is a row of the table with `op` ('upsert' or 'delete') and `seq`, its order. Structured Streaming reads each file once;
-a micro-batch becomes one new version of the table, whose number the catalog keeps with the batch id, so a batch that is
-run again after a failure is not applied twice."""
+a micro-batch becomes one new version of the table. Changes name whole rows by key, so a batch that is run again after a
+failure gives the same table."""
 
 from __future__ import annotations
 
@@ -31,12 +31,9 @@ def follow(engine: Engine, table: str, folder: str, checkpoint: str, once: bool
     """Replays a folder of Parquet change files into a table."""
     t = engine._table(table)
     schema = T.StructType([*t.schema().fields, T.StructField("op", T.StringType()), T.StructField("seq", T.LongType())])
-    marks: set[int] = set()
 
     def apply(batch: DataFrame, number: int) -> None:
-        if number not in marks:
-            engine._save(t, applied(engine._read(t), batch, t.key))
-            marks.add(number)
+        engine._save(t, applied(engine._read(t), batch, t.key))
 
     writer = engine.spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

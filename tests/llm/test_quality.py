@@ -11,7 +11,9 @@ def brute(text):
     text = text or ""
     words = SPLIT.findall(text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
-    again = {w for w in windows if windows.count(w) > 1} if len(windows) < 2000 else {w for w in set(windows) if windows.count(w) > 1} if len(windows) < 1 else _many(windows)
+    seen, again = set(), set()
+    for w in windows:
+        (again if w in seen else seen).add(w)
     hit = set()
     for i, w in enumerate(windows):
         if w in again:
@@ -21,13 +23,6 @@ def brute(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
 
 
-def _many(windows):
-    seen, twice = set(), set()
-    for w in windows:
-        (twice if w in seen else seen).add(w)
-    return twice
-
-
 def test_measurements(docs, corpus):
     got = sorted(tuple(r) for r in quality.judged(docs).select("doc_id", *quality.MEASURES[:5], "base_failed").collect())
     want = []

@@ -9,12 +9,14 @@ of every lane at once. Any part between checkpoints can be decoded alone. Shards
 Parquet as the container gives Spark's commit protocol: a lost executor leaves no half-written block, and files may lie in
 any store that Spark can reach.
 
-Null or empty text: the end id only. Null ids come first. Rows of equal id are kept in the order of their texts. An empty
-table gives no rows. A document is coded whole, in a block of its own if it is long.
+Null or empty text: the end id only. Null ids come first. Rows of equal id are kept in the order of a hash of their token
+ids, so that a hot id is spread over shards, too. An empty table gives no rows. A document is coded whole, in a block of
+its own if it is long. Files whose tokenizer isn't built as the fast path assumes go through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -24,13 +26,14 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-SCALE, LANES, INTERVAL, BLOCK = 20, 1024, 256, 1 << 18
+SCALE, LANES, INTERVAL, BLOCK, SHARD = 20, 1024, 256, 1 << 18, 1 << 24
 LOW, MAGIC, VERSION = 1 << 31, b"MRAN", 1
 HEADER = struct.Struct("<4sHHIQIIII")
 END = 2
@@ -182,6 +185,16 @@ PLAIN = re.compile(r"[!-~À-ÖØ-öø-ıĲ-ňŊ-ž]+")
 PIECES = re.compile("|".join((*CONTRACTIONS, "[a-zß-öø-ž]+", "[0-9]", "[^0-9a-zß-öø-ž]+")))
 
 
+# How a tokenizer file must normalise and part texts for the fast path.
+FAST = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -194,7 +207,7 @@ class Tokenizer(dict):
 
     The tokenizer drops white space and treats what lies between on its own, so the ids of a text are those of its words
     one after another. Plain words are parted as the tokenizer's pattern does and their pieces go to its BPE model; any
-    other word goes through the whole tokenizer."""
+    other word goes through the whole tokenizer, and so does every text if the file's settings aren't those of FAST."""
 
     LIMIT, PIECES_LIMIT = 800_000, 600_000
 
@@ -204,6 +217,8 @@ class Tokenizer(dict):
         super().__init__()
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.model, self.letters = self.whole.model, byte_letters()
+        settings = json.loads(self.whole.to_str())
+        self.fast = all(settings.get(k) == v for k, v in FAST.items())
         self.pieces: dict[str, bytes] = {}
         self.reset()
 
@@ -231,10 +246,14 @@ class Tokenizer(dict):
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
+        if not self.fast:
+            whole = self.whole.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            runs = [[*x.ids, END] for x in whole]
+            return np.array([i for r in runs for i in r], np.uint32), np.array([len(r) for r in runs], np.int64)
         if len(self) > self.LIMIT:
             self.reset()
-        words, counts = common.flat_words(texts)
-        runs = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        codes, counts, distinct = common.word_codes(texts)
+        runs = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))[codes]
         runs = np.insert(runs, np.cumsum(counts), 0)
         sizes = np.array(self.sizes, dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
@@ -251,23 +270,39 @@ def tokenizer(path: str) -> Tokenizer:
 
 # --- Spark ---
 
-TOKENS = "doc_id long, ids binary, n_tokens long"
+TOKENS = "doc_id long, mark long, ids binary, n_tokens long, counts binary"
 BLOCKS = "shard int, block int, first long, n_docs long, n_tokens long, data binary"
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids (little-endian, the end id last; two bytes each if the vocabulary allows, else four) and n_tokens."""
+    """doc_id, mark (a hash of the ids), ids (little-endian, the end id last; two bytes each if the vocabulary allows, else
+    four), n_tokens, and on one row of each task, else null, how often each id occurs in what the task tokenized."""
 
-    def batch(b: pa.RecordBatch) -> dict:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        ids, counts = own.encode(common.raw(b.column(1)))
         width = 2 if own.whole.get_vocab_size() <= 1 << 16 else 4
-        ends = width * np.concatenate([[0], np.cumsum(counts)])
-        data = ids.astype(f"<u{width}").tobytes()
-        runs = [data[a:e] for a, e in zip(ends.tolist(), ends[1:].tolist())]
-        return {"doc_id": b.column(0), "ids": pa.array(runs, pa.binary()), "n_tokens": counts}
-
-    return common.mapped(common.narrowed(docs, "doc_id", "text"), batch, TOKENS)
+        total, held = np.zeros(own.whole.get_vocab_size() + 1, np.int64), None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held:
+                yield pa.RecordBatch.from_pydict(held)
+            ids, counts = own.encode(common.raw(b.column(1)))
+            got = np.bincount(ids, minlength=len(total))
+            got[: len(total)] += total
+            total = got
+            ends = width * np.concatenate([[0], np.cumsum(counts)])
+            data = ids.astype(f"<u{width}").tobytes()
+            runs = [data[a:e] for a, e in zip(ends.tolist(), ends[1:].tolist())]
+            marks = np.fromiter(map(xxhash.xxh3_64_intdigest, runs), np.uint64, len(runs)).view(np.int64)
+            held = {"doc_id": b.column(0), "mark": marks, "ids": pa.array(runs, pa.binary()), "n_tokens": counts, "counts": pa.nulls(b.num_rows, pa.binary())}
+        if held:
+            n = len(held["counts"])
+            held["counts"] = pa.array([total.astype("<i8").tobytes()] + [None] * (n - 1), pa.binary())
+            yield pa.RecordBatch.from_pydict(held)
+
+    common.prepare(docs.sparkSession)
+    return common.narrowed(docs, "doc_id", "text").mapInArrow(run, TOKENS)
 
 
 def unpacked(ids: bytes, n: int) -> np.ndarray:
@@ -275,24 +310,27 @@ def unpacked(ids: bytes, n: int) -> np.ndarray:
 
 
 def id_counts(tokens: DataFrame) -> dict[int, int]:
-    """How often each id occurs in all documents; bounded by the vocabulary."""
+    """How often each id occurs in all documents; bounded by the vocabulary. Reads the tasks' counts only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for b in batches:
-            for x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = np.bincount(unpacked(x, n))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+        for x in (x for b in batches for x in b.column(0).to_pylist()):
+            got = np.array(np.frombuffer(x, "<i8"))
+            got[: len(total)] += total[: len(got)]
+            total = np.concatenate([got, total[len(got) :]])
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
     common.prepare(tokens.sparkSession)
-    counted = tokens.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("counts").where("counts IS NOT NULL").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return {r["id"]: r["n"] for r in counted.collect()}
 
 
+def shards_for(n_tokens: int, partitions: int) -> int:
+    """Shards of at most about SHARD ids, so they grow in number with the corpus; a small corpus uses the cluster's partitions."""
+    return max(1, -(-n_tokens // SHARD), min(partitions, n_tokens >> 18))
+
+
 def write(tokens: DataFrame, counts: dict[int, int], label: str = "tokens") -> tuple[DataFrame, np.ndarray]:
     """Writes the token files, in ascending order of doc_id; the table of blocks read back, and the frequency table."""
     size = max(counts, default=0) + 1
@@ -325,9 +363,9 @@ def write(tokens: DataFrame, counts: dict[int, int], label: str = "tokens") -> t
             yield flushed()
 
     common.prepare(tokens.sparkSession)
-    shards = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.select("doc_id", "ids", "n_tokens").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return common.staged(ordered.mapInArrow(run, BLOCKS), label), freq
+    shards = shards_for(sum(counts.values()), int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = tokens.select("doc_id", "mark", "ids", "n_tokens").repartitionByRange(shards, "doc_id", "mark").sortWithinPartitions("doc_id", "mark", "ids")
+    return common.staged(ordered.select("doc_id", "ids", "n_tokens").mapInArrow(run, BLOCKS), label), freq
 
 
 def read(blocks: DataFrame, freq: np.ndarray) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -27,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only where everything runs in one process (tests) a
+    folder of our own does instead."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "file:///tmp/checkpoints").rstrip("/")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -83,6 +87,26 @@ def coded(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
 
 
+_IS_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def word_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts as codes, the number of words of each text, and the distinct words by code; only those
+    become objects."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    inner = ~_IS_SPACE[data]
+    edges = np.flatnonzero(np.diff(inner.view(np.int8), prepend=np.int8(0)))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inner])])
+    found = words.dictionary_encode()
+    text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    counts = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+    _, at, flat = found.dictionary.buffers()
+    cuts, flat = np.frombuffer(at, np.int64, len(found.dictionary) + 1).tolist(), flat.to_pybytes() if flat else b""
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts, [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def owners(counts: np.ndarray) -> np.ndarray:
     """The text's index for each of its words."""
     return np.repeat(np.arange(len(counts)), counts)

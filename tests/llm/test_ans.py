@@ -68,6 +68,22 @@ def test_tokenizer_equals_library():
         at += n
 
 
+def test_other_tokenizers_go_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole, texts = Tokenizer.from_file(path), ["It's  12 o'clock", "", "\n\n été 中文 "]
+    ids, counts = ans.Tokenizer(path).encode([t.encode() for t in texts])
+    want = [[*whole.encode(t, add_special_tokens=False).ids, ans.END] for t in texts]
+    assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_counts_and_shards(docs):
+    tokens = ans.tokenized(docs, PATH)
+    found = np.concatenate([ans.unpacked(r["ids"], r["n_tokens"]) for r in tokens.collect()])
+    assert ans.id_counts(tokens) == dict(zip(*(x.tolist() for x in np.unique(found, return_counts=True))))
+    assert ans.shards_for(0, 8) == ans.shards_for(1000, 8) == 1 and ans.shards_for(1 << 22, 8) == 8
+    assert ans.shards_for(10**14, 8) == -(-(10**14) // ans.SHARD)
+
+
 def test_files(docs, odd, none, corpus):
     whole = Tokenizer.from_file(PATH)
     got = sorted(map(tuple, ans.output(docs, PATH).collect()), key=lambda r: r[1])

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from millrace.llm import quality
+from millrace.llm import common, quality
 
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,3 +57,12 @@ def test_stage_keeps_columns(odd, none):
     assert ids == [(False, 1), (False, 2), (False, 3), (False, 8), (False, 9), (True, 0)]
     assert quality.kept_documents(none).count() == 0 and quality.judged(none).count() == 0
     assert quality.judged(odd).where(F.col("doc_id").isNull()).count() == 2
+
+
+def test_word_codes():
+    texts = ["".encode(), b" \t\n\x0b\x0c\r ", b"one", b" two  one\x0btwo\n", "é\x85x \x1cy".encode(), b""]
+    codes, counts, distinct = common.word_codes(texts)
+    words, want = common.flat_words(texts)
+    assert [distinct[i] for i in codes.tolist()] == words and counts.tolist() == want.tolist()
+    codes, counts, distinct = common.word_codes([])
+    assert len(codes) == len(counts) == len(distinct) == 0

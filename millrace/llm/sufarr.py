@@ -4,8 +4,10 @@ A byte goes if a string of WIDTH bytes over it also starts in a document of smal
 without sorting all suffixes of the corpus, every string of WIDTH bytes is known by an anchor: the leftmost K-gram of least
 hash within it, which depends on the string alone. Anchors of one document only are dropped. Around each other anchor lies
 a segment, all bytes of the strings that it stands for. Equal segments of an anchor collapse to the one of smallest
-id; the others are covered by it. What remains, segments that share an anchor but differ, meets in a bucket, where a suffix
-array (see lyndon) over all of them puts equal strings side by side and so tells for every string the smallest document.
+id; the others are covered by it. What remains, segments that share an anchor but differ, meets in a bucket. There each is cut
+to how far any other of its anchor agrees with it to the left and to the right (no string beyond can be repeated), what is
+then equal collapses again, and a suffix array (see lyndon) over the rest puts equal strings side by side and so tells for
+every string the smallest document.
 All that travels is packed (see exchange): 4 bytes for an anchor, 12 for a shared one, the segment for those that differ.
 
 Null or empty text: nothing to remove. Documents shorter than WIDTH stay whole. Rows of equal id don't cover each other;
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import copy
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,7 @@ from .exchange import ANSWER, PACKED, PACKED_ARROW, Entries, Rows, chunked, deal
 from .lyndon import suffix_array
 
 WIDTH, K, CHUNK_BYTES, PIECE = 50, 20, 3 << 20, 1 << 19
+SIDE = 32  # bytes beside an anchor that are compared; a segment has at most SPREAD there
 SPREAD = WIDTH - K  # an anchor lies at most so many bytes into its string
 PLACE_BITS = 20  # of a place within a piece of PIECE bytes and the string that crosses its end
 BASE = 0x9E3779B97F4A7C15
@@ -132,8 +136,8 @@ def collapsed(key: tuple, table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-SEGMENTS = "bucket int, chunk int, docs binary, keys binary, sizes binary, data binary"
-SEGMENTS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("docs", "keys", "sizes", "data"))])
+SEGMENTS = "bucket int, chunk int, docs binary, keys binary, sizes binary, places binary, data binary"
+SEGMENTS_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), *((c, pa.binary()) for c in ("docs", "keys", "sizes", "places", "data"))])
 BATCH = 1 << 19  # bytes of segments that a suffix array covers, or those of one anchor
 
 
@@ -167,7 +171,7 @@ def detailed(left: pa.Table, right: pa.Table, n: int) -> pa.Table:
         at = order[starts[b] : starts[b + 1]]
         data = b"".join(a.data[x:y] for x, y in zip(a.start[at].tolist(), a.end[at].tolist()))
         keys = (a.keys[at] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()
-        packed = (rows.ids[a.owner[at]].astype("<i8").tobytes(), keys, (a.end - a.start)[at].astype("<u2").tobytes(), data)
+        packed = (rows.ids[a.owner[at]].astype("<i8").tobytes(), keys, (a.end - a.start)[at].astype("<u2").tobytes(), (a.at - a.start)[at].astype("u1").tobytes(), data)
         for name, value in zip(cols, (b, rows.chunk, *(zlib.compress(x, 1) for x in packed))):
             cols[name].append(value)
     return pa.Table.from_pydict(cols, SEGMENTS_ARROW)
@@ -200,30 +204,98 @@ MASKS = "chunk int, bucket int, masks binary"
 MASKS_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("masks", pa.binary())])
 
 
-def sorted_out(key: tuple, table: pa.Table) -> pa.Table:
-    """For each segment of a bucket, a bit for each of its strings that a smaller document has."""
-    segments, docs, keys, counts = [], [], [], []
-    for r in table.to_pylist():
-        sizes, data = np.frombuffer(zlib.decompress(r["sizes"]), "<u2").astype(int), zlib.decompress(r["data"])
-        ends = np.cumsum(sizes)
-        segments += [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
-        docs.append(np.frombuffer(zlib.decompress(r["docs"]), "<i8"))
-        keys.append(np.frombuffer(zlib.decompress(r["keys"]), "<u4"))
-        counts.append(len(sizes))
-    docs, keys, masks = np.concatenate(docs), np.concatenate(keys), np.zeros(len(segments), np.uint32)
-    # Equal strings have equal anchors, so anchors can be taken a few at a time.
-    order = np.argsort(keys, kind="stable")
-    cuts = np.append(np.flatnonzero(np.diff(keys[order], prepend=-1)), len(order))
-    total = np.concatenate([[0], np.cumsum([len(segments[i]) for i in order.tolist()])])
+@dataclass
+class Segments:
+    """A bucket's segments: where each lies in `data`, its anchor's place there, its anchor's key and its document."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+    keys: np.ndarray
+    docs: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[dict]) -> Segments:
+        part = lambda c, kind: np.concatenate([np.frombuffer(zlib.decompress(r[c]), kind) for r in rows])
+        size, data = part("sizes", "<u2").astype(np.int64), part("data", "u1")
+        end = np.cumsum(size)
+        return cls(data, end - size, end, end - size + part("places", "u1"), part("keys", "<u4"), part("docs", "<i8"))
+
+    def agreed(self, step: int) -> np.ndarray:
+        """For each segment, how many bytes beside its anchor the most similar other segment of the anchor shares: to the
+        right (step 1) or to the left (-1). The most similar one is a neighbour in sorted order."""
+        reach = (self.end - self.at - K) if step > 0 else (self.at - self.start)
+        first = self.at + K if step > 0 else self.at - 1
+        place = np.arange(SIDE)
+        beside = self.data[np.clip(first[:, None] + step * place, 0, len(self.data) - 1)]
+        beside[place >= reach[:, None]] = 0
+        words = beside.view(">u8")
+        order = np.lexsort((reach, *words.T[::-1], self.keys))  # what ends sorts before what goes on
+        beside, reach = beside[order], reach[order]
+        differ = beside[1:] != beside[:-1]
+        common_ = np.where(differ.any(1), differ.argmax(1), SIDE)
+        common_ = np.minimum(common_, np.minimum(reach[1:], reach[:-1]))
+        common_[self.keys[order][1:] != self.keys[order][:-1]] = 0
+        best = np.zeros(len(order), np.int64)
+        best[order[1:]] = common_
+        best[order[:-1]] = np.maximum(best[order[:-1]], common_)
+        return best
+
+
+def trimmed(s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each segment's repeatable bytes start and end, and which segments have a string of them."""
+    left, right = s.agreed(-1), s.agreed(1)
+    return s.at - left, s.at + K + right, np.flatnonzero(left + K + right >= WIDTH)
+
+
+def alike(s: Segments, start: np.ndarray, end: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each of the segments `own`, the one of smallest document that equals it between start and end."""
+    raw = s.data.tobytes()
+    order = own[np.lexsort((own, s.docs[own]))]
+    first: dict[tuple, int] = {}
+    ranges = zip(s.keys[order].tolist(), (s.at - start)[order].tolist(), start[order].tolist(), end[order].tolist(), order.tolist())
+    of = np.full(len(s.at), -1, np.int64)
+    of[order] = [first.setdefault((k, p, raw[a:b]), i) for k, p, a, b, i in ranges]
+    return of[own]
+
+
+def masks_of(s: Segments) -> np.ndarray:
+    """For each segment, a bit for each of its strings that a smaller document has."""
+    masks = np.zeros(len(s.at), np.uint32)
+    start, end, own = trimmed(s)
+    if not len(own):
+        return masks
+    first = alike(s, start, end, own)
+    # The suffix arrays: over what differs, a few anchors at a time, as equal strings have equal anchors.
+    once = np.unique(first)
+    once = once[np.argsort(s.keys[once], kind="stable")]
+    raw, size = s.data.tobytes(), (end - start)[once]
+    cuts = np.append(np.flatnonzero(np.diff(s.keys[once].astype(np.int64), prepend=-1)), len(once))
+    total = np.concatenate([[0], np.cumsum(size + 1)])
+    several = np.diff(cuts) > 1
     a = 0
     while a < len(cuts) - 1:
         b = max(a + 1, int(np.searchsorted(total[cuts], total[cuts[a]] + BATCH, "right")) - 1)
-        own = order[cuts[a] : cuts[b]]
-        at, start = repeated([segments[i] for i in own.tolist()], docs[own])
-        np.bitwise_or.at(masks, own[at], np.uint32(1) << start.astype(np.uint32))
+        part = np.concatenate([once[cuts[i] : cuts[i + 1]] for i in range(a, b) if several[i]] or [once[:0]])
+        if len(part):
+            hit, place = repeated([raw[x:y] for x, y in zip(start[part].tolist(), end[part].tolist())], s.docs[part])
+            shift = (start - s.start)[part[hit]] + place
+            np.bitwise_or.at(masks, part[hit], np.uint32(1) << shift.astype(np.uint32))
         a = b
-    ends = np.cumsum(counts)
-    parts = [zlib.compress(masks[a:b].astype("<u4").tobytes(), 1) for a, b in zip(ends - counts, ends)]
+    # All strings of what a smaller document's segment equals; those of one document share their bits.
+    strings = (np.uint64(1) << (end - start - WIDTH + 1)[own].astype(np.uint64)) - np.uint64(1)
+    whole = (strings << (start - s.start)[own].astype(np.uint64)).astype(np.uint32)
+    masks[own] = np.where(s.docs[own] > s.docs[first], whole, masks[first])
+    return masks
+
+
+def sorted_out(key: tuple, table: pa.Table) -> pa.Table:
+    """For each segment of a bucket, a bit for each of its strings that a smaller document has."""
+    rows = table.to_pylist()
+    masks = masks_of(Segments.of(rows))
+    ends = np.cumsum([len(zlib.decompress(r["places"])) for r in rows])
+    parts = [zlib.compress(masks[a:b].astype("<u4").tobytes(), 1) for a, b in zip(np.concatenate([[0], ends]), ends)]
     return pa.Table.from_pydict({"chunk": table["chunk"].to_pylist(), "bucket": [key[0].as_py()] * len(parts), "masks": parts}, MASKS_ARROW)
 
 

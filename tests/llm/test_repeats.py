@@ -73,20 +73,23 @@ def test_anchors_in_batches(spark, corpus, monkeypatch):
     import pyarrow as pa
 
     r = random.Random(1)
-    texts = [bytes(r.choice(b"ab") for _ in range(70)) for _ in range(40)]
-    keys = [sum(t[30:34]) % 3 for t in texts]
+    side = lambda n: bytes(r.choice(b"\x00b" if r.random() < 0.3 else b"\x00") for _ in range(n))
+    middles = [bytes(r.choice(b"cdef") for _ in range(20)) for _ in range(3)]  # anchors; every string holds its own
+    places, keys = [r.choice((30, 30, 25, 22)) for _ in range(80)], [r.randrange(3) for _ in range(80)]
+    texts = [side(p) + middles[k] + side(r.choice((20, 30, 28))) for p, k in zip(places, keys)]
     table = lambda own: pa.Table.from_pylist([{"bucket": 0, "chunk": 5, **{n: sufarr.zlib.compress(x) for n, x in (
-        ("docs", np.array([i for i in own], "<i8").tobytes()), ("keys", np.array([keys[i] for i in own], "<u4").tobytes()),
-        ("sizes", np.array([70 for _ in own], "<u2").tobytes()), ("data", b"".join(texts[i] for i in own)))}}], sufarr.SEGMENTS_ARROW)
+        ("docs", np.array([i // 2 for i in own], "<i8").tobytes()), ("keys", np.array([keys[i] for i in own], "<u4").tobytes()),
+        ("sizes", np.array([len(texts[i]) for i in own], "<u2").tobytes()), ("places", np.array([places[i] for i in own], "u1").tobytes()),
+        ("data", b"".join(texts[i] for i in own)))}}], sufarr.SEGMENTS_ARROW)
     found = []
     for batch in (1, 200, 1 << 20):
         monkeypatch.setattr(sufarr, "BATCH", batch)
-        masks = sufarr.sorted_out((pa.scalar(0),), table(range(40)))["masks"][0].as_py()
+        masks = sufarr.sorted_out((pa.scalar(0),), table(range(80)))["masks"][0].as_py()
         found.append(np.frombuffer(sufarr.zlib.decompress(masks), "<u4").tolist())
     for k in range(3):
-        own = [i for i in range(40) if keys[i] == k]
+        own = [i for i in range(80) if keys[i] == k]
         for i in own:
-            want = sum(1 << t for t in range(21) if any(texts[i][t : t + 50] in texts[j] for j in own if j < i))
+            want = sum(1 << t for t in range(len(texts[i]) - 49) if any(texts[i][t : t + 50] in texts[j] for j in own if j // 2 < i // 2))
             assert found[0][i] == want
     assert found[0] == found[1] and all(a | b == b for a, b in zip(found[0], found[2]))
 

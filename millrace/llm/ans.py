@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SCALE, LANES, INTERVAL, BLOCK, SHARD = 20, 1024, 256, 1 << 18, 1 << 24
+SCALE, LANES, INTERVAL, BLOCK, SHARD = 20, 2048, 256, 1 << 20, 1 << 24
 LOW, MAGIC, VERSION = 1 << 31, b"MRAN", 1
 HEADER = struct.Struct("<4sHHIQIIII")
 END = 2
@@ -227,11 +227,25 @@ class Tokenizer(dict):
         self.sizes, self.ids = array("I", [1]), array("I", [END])  # run 0: the end of a document
 
     def __missing__(self, word: bytes) -> int:
+        if word.isalpha():  # ASCII letters only: one piece, the same run of ids in either case
+            low = word.lower()
+            if low != word:
+                self[word] = n = self[low]
+                return n
+            return self.added(word, self.of_piece(low.decode()))
         text = word.decode("utf-8", "replace")
+        if word[:-1].isalpha() and word[-1:] in b".,":
+            return self.added(word, self.of_piece(text[:-1].lower()) + self.of_piece(text[-1]))
         if PLAIN.fullmatch(text) and "<|" not in text:
-            found = b"".join([self.pieces.get(p) or self.piece(p) for p in PIECES.findall(text.lower())])
+            found = b"".join([self.of_piece(p) for p in PIECES.findall(text.lower())])
         else:
             found = array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.added(word, found)
+
+    def of_piece(self, text: str) -> bytes:
+        return self.pieces.get(text) or self.piece(text)
+
+    def added(self, word: bytes, found: bytes) -> int:
         self[word] = n = len(self.sizes)
         self.sizes.append(len(found) // 4)
         self.ids.frombytes(found)

@@ -23,6 +23,11 @@ def clashes(target: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame
     return rows.join(target.select(*key), list(key), "left_semi")
 
 
+def clashes_rows(target: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Rows of the table whose key is among the new rows'."""
+    return target.join(rows.select(*key), list(key), "left_semi").select(*target.columns)
+
+
 def missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows with a null where none may be."""
     return df.where(~_all_known(columns))

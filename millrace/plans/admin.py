@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import HIDDEN_KEY, Catalog, TableDef, _table
+from ..catalog import DEFAULT_SPACE, HIDDEN_KEY, Catalog, TableDef, _table
 
 
 def explained(df: DataFrame, query: str) -> DataFrame:
@@ -50,14 +51,19 @@ def dump(catalog: Catalog, space: str, path: str) -> None:
 
 
 def restore(catalog: Catalog, space: str, path: str) -> None:
-    """A dumped space under a (new) name."""
-    raw = catalog.spark.read.text(f"{path}/_manifest_tables", wholetext=True).first().value
-    catalog.spaces.setdefault(space, {})
-    for d in json.loads(raw):
-        t = _table(d)
+    """A dumped space under a (new) name; references among its tables follow."""
+    found = [_table(d) for d in json.loads(catalog.spark.read.text(f"{path}/_manifest_tables", wholetext=True).first().value)]
+    catalog.refresh()
+    base, mine = catalog.snapshot(), catalog.snapshot()
+    own, names = mine.setdefault(space, {}), {t.name for t in found}
+    for t in found:
+        for k in t.foreign_keys:
+            of, _, parent = k.parent.rpartition(".")
+            if (of or DEFAULT_SPACE) == t.space and parent in names:
+                k.parent = parent if space == DEFAULT_SPACE else f"{space}.{parent}"
+    for t in found:
         rows = catalog.spark.read.schema(t.schema()).parquet(f"{path}/{t.name}")
-        t.space, t.path, t.version = space, None, 0
-        catalog.spaces[space].pop(t.name, None)
-        catalog.create(t)
+        t.space, t.manifest, t.version, t.uuid = space, None, 0, uuid.uuid4().hex
+        own[t.name] = t
         catalog.write(t, rows)
-    catalog.save()
+    catalog.merge(base, mine)

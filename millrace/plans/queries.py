@@ -295,14 +295,20 @@ def foreign_key_set_null(spark: SparkSession, folder: str) -> DataFrame:
     return keys.nulled(tables.table(spark, folder, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], gone, ["c_custkey"])
 
 
-@_df()
+@_df("SELECT CAST(count(*) AS BIGINT) AS n_rows, TRUE AS same_in_any_order, TRUE AS differs_if_changed FROM lineitem")
 def table_checksum(spark: SparkSession, folder: str) -> DataFrame:
-    return admin.checksum(tables.table(spark, folder, "lineitem"))
+    """The checksum of a table, compared with that of its rows dealt anew and with some values changed."""
+    own = tables.table(spark, folder, "lineitem")
+    changed = own.withColumn("l_quantity", F.when(F.col("l_linenumber") == 1, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    a, b, c = (admin.checksum(x).select(F.struct("*").alias(n)) for x, n in ((own, "a"), (own.repartition("l_partkey"), "b"), (changed, "c")))
+    one = a.join(b).join(c)  # one row each
+    return one.select(F.col("a.n_rows").alias("n_rows"), (F.col("a") == F.col("b")).alias("same_in_any_order"), (F.col("a") != F.col("c")).alias("differs_if_changed"))
 
 
-@_df()
+@_df("SELECT * FROM (VALUES ('query', TRUE), ('logicalplan', TRUE), ('plan', TRUE), ('finalplan', TRUE)) t(name, names_its_table)")
 def explain_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return admin.explained(QUERIES["scan_filter_project"](spark, folder), "scan_filter_project")
+    found = admin.explained(QUERIES["scan_filter_project"](spark, folder), "SELECT ... FROM lineitem")
+    return found.select("name", F.col("value").rlike("lineitem|l_orderkey").alias("names_its_table"))
 
 
 # --- the engine: catalog, statements, transactions, system tables ---
@@ -358,3 +364,168 @@ def system_tables(spark: SparkSession, folder: str) -> DataFrame:
 @_df("SELECT 'CREATE TABLE default.part_of (pk int NOT NULL, name varchar(20) NOT NULL DEFAULT ''none'', size int, PRIMARY KEY(pk), INDEX by_size(size))' AS create_statement")
 def show_create_table(spark: SparkSession, folder: str) -> DataFrame:
     return _engine(spark).query("SHOW CREATE TABLE part_of WITH INDEXES").select("create_statement")
+
+
+# --- the engine: parameters, batches, keys ---
+
+
+@_df("SELECT * FROM (VALUES (2), (3)) t(pk)")
+def limit_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark).query("SELECT pk FROM part_of ORDER BY pk LIMIT ?, ?", [1, 2])
+
+
+@_df("SELECT * FROM (VALUES (1), (2)) t(pk)")
+def client_max_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark).query("SELECT pk FROM part_of ORDER BY pk", max_rows=2)
+
+
+@_df("SELECT * FROM (VALUES (1), (2)) t(pk)")
+def top_in_subquery(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark).query("SELECT pk FROM (SELECT TOP ? pk FROM part_of ORDER BY pk) t", [2])
+
+
+@_df("SELECT k1, CAST(similarity AS DOUBLE) AS similarity FROM (VALUES ('a', 0.97014), ('b', 0.99388), ('c', 1.0)) t(k1, similarity)")
+def vector_parameters(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    e.execute("CREATE TABLE vectors (k1 string PRIMARY KEY, v1 floata)")
+    e.execute("INSERT INTO vectors VALUES ('a', CAST(array(0.2, 0.8) AS FLOAT ARRAY)), ('b', array(0.1, 0.9))")
+    e.execute("INSERT INTO vectors VALUES (?, ?)", ["c", [0.0, 1.0]])
+    return e.query("SELECT k1, round(cast(cosine_similarity(v1, CAST(? AS FLOAT ARRAY)) AS double), 5) AS similarity FROM vectors", [[0.0, 1.0]])
+
+
+@_df("SELECT * FROM (VALUES (2, 'none', 20)) t(pk, name, size)")
+def get_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    return tables.values(spark, [tuple(e.get("part_of", pk=2).values())], "pk int, name string, size int")
+
+
+@_df("SELECT CAST(id AS BIGINT) AS id, part FROM (VALUES (4, 3), (5, 3), (6, 1)) t(id, part)")
+def batch_with_generated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    e.execute_batch("INSERT INTO note (part) VALUES (?)", [[3], [3], [1]])
+    return e.generated_keys().join(e.query("SELECT * FROM note"), "id")
+
+
+@_df("SELECT * FROM (VALUES (1, 10), (2, 20), (3, NULL)) t(pk, size)")
+def select_for_update(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark).query("SELECT pk, size FROM part_of FOR UPDATE")
+
+
+# --- the engine: integrity ---
+
+
+def _refused(e, sql: str) -> bool:
+    try:
+        e.execute(sql)
+    except ValueError:
+        return True
+    return False
+
+
+@_df("SELECT TRUE AS refused, CAST(3 AS BIGINT) AS n_notes, CAST(3 AS BIGINT) AS n_parts")
+def refused_delete(spark: SparkSession, folder: str) -> DataFrame:
+    """A child that cascades and one that refuses: the statement leaves both as they were."""
+    e = _engine(spark)
+    e.execute("CREATE TABLE held (id int PRIMARY KEY, part int, FOREIGN KEY (part) REFERENCES part_of(pk))")
+    e.execute("INSERT INTO held VALUES (1, 2)")
+    refused = _refused(e, "DELETE FROM part_of WHERE pk <= 2")
+    return e.query("SELECT ? AS refused, (SELECT count(*) FROM note) AS n_notes, (SELECT count(*) FROM part_of) AS n_parts", [refused])
+
+
+@_df("SELECT TRUE AS drop_refused, 'code' AS parent_column, TRUE AS orphan_refused")
+def referenced_columns(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    e.execute("ALTER TABLE part_of RENAME COLUMN pk TO code")
+    dropped, orphan = _refused(e, "ALTER TABLE part_of DROP COLUMN code"), _refused(e, "INSERT INTO note (part) VALUES (99)")
+    return e.query("SELECT ? AS drop_refused, parent_table_column_name AS parent_column, ? AS orphan_refused FROM sysforeignkeys", [dropped, orphan])
+
+
+@_df("SELECT CAST(1 AS BIGINT) AS n_first, CAST(1 AS BIGINT) AS n_second, TRUE AS clash_refused")
+def concurrent_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two sessions over one catalog: neither loses what the other has made; changes of one table clash."""
+    from ..engine import Engine
+
+    first = _engine(spark)
+    second = Engine(spark, first.catalog.root)
+    first.execute("CREATE TABLE made_first (k int PRIMARY KEY)")
+    second.execute("CREATE TABLE made_second (k int PRIMARY KEY)")
+    for sql in ("BEGIN TRANSACTION", "UPDATE part_of SET size = 0 WHERE pk = 1"):
+        first.execute(sql)
+    second.execute("UPDATE part_of SET size = 1 WHERE pk = 1")
+    clash = _refused(first, "COMMIT")
+    first.execute("INSERT INTO made_first VALUES (1)")
+    second.execute("INSERT INTO made_second VALUES (1)")
+    return Engine(spark, first.catalog.root).query("SELECT (SELECT count(*) FROM made_first) AS n_first, (SELECT count(*) FROM made_second) AS n_second, ? AS clash_refused", [clash])
+
+
+@_df("SELECT pk, extent, CAST(0.5 AS DOUBLE) AS weight FROM (VALUES (1, 10), (2, 20), (3, NULL)) t(pk, extent)")
+def alter_table(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    for sql in ("DROP INDEX by_size", "ALTER TABLE part_of RENAME COLUMN size TO extent", "ALTER TABLE part_of ADD COLUMN weight double DEFAULT 0.5", "ALTER TABLE part_of DROP COLUMN name", "EXECUTE RENAMETABLE 'default', 'part_of', 'piece'"):
+        e.execute(sql)
+    return e.query("SELECT * FROM piece")
+
+
+@_df("SELECT * FROM (VALUES ('default', 'part_of')) t(tablespace, table_name)")
+def drop_table(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    e.execute("DROP TABLE note")
+    return e.query("SELECT tablespace, table_name FROM systables WHERE systemtable = 'false'")
+
+
+# --- the engine: log replay, backup, system tables ---
+
+
+@_df("SELECT * FROM (VALUES (1, 'one', 11), (3, 'none', NULL), (7, 'new', 70)) t(pk, name, size)")
+def log_replay(spark: SparkSession, folder: str) -> DataFrame:
+    """A change feed applied in two batches; the change that comes late and is older is left out."""
+    from ..streaming.replay import follow
+
+    e, schema = _engine(spark), "pk int, name string, size int, op string, seq long"
+    feed = f"{e.catalog.root}-feed"
+    for rows in ([(1, "one", 11, "upsert", 5), (2, None, None, "delete", 6)], [(1, "old", 9, "upsert", 4), (7, "new", 70, "upsert", 7)]):
+        tables.values(spark, rows, schema).coalesce(1).write.mode("append").parquet(feed)
+        follow(e, "part_of", feed, f"{e.catalog.root}-marks").awaitTermination()
+    return e.query("SELECT * FROM part_of")
+
+
+@_df("SELECT * FROM (VALUES (1, 10), (2, 20), (3, NULL)) t(pk, size)")
+def backup_restore(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    admin.dump(e.catalog, "default", f"{e.catalog.root}-dump")
+    admin.restore(e.catalog, "again", f"{e.catalog.root}-dump")
+    e.execute("DELETE FROM note")
+    e.execute("DELETE FROM part_of")
+    return e.query("SELECT pk, size FROM again.part_of")
+
+
+@_df("SELECT * FROM (VALUES ('note', 'pk', 'id', 1, 1, 1), ('part_of', 'brin', 'size', 1, 0, 0), ('part_of', 'pk', 'pk', 1, 1, 1)) t(table_name, index_type, column_name, ordinal_position, clustered, is_unique)")
+def system_index_columns(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark).query("SELECT table_name, index_type, column_name, ordinal_position, clustered, unique AS is_unique FROM sysindexcolumns")
+
+
+@_df("SELECT * FROM (VALUES ('note', CAST(3 AS BIGINT)), ('part_of', CAST(3 AS BIGINT))) t(table_name, tablesize)")
+def system_table_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark).query("SELECT table_name, tablesize FROM systablestats")
+
+
+@_df("SELECT 'default' AS tablespace, CAST(1 AS BIGINT) AS n, TRUE AS dated")
+def system_transactions(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    e.execute("BEGIN TRANSACTION")
+    return e.query("SELECT tablespace, count(*) AS n, min(creationtimestamp) IS NOT NULL AS dated FROM systransactions GROUP BY tablespace")
+
+
+@_df("SELECT * FROM (VALUES ('default', 1), ('other', 1)) t(tablespace_name, expectedreplicacount)")
+def system_table_spaces(spark: SparkSession, folder: str) -> DataFrame:
+    e = _engine(spark)
+    e.execute("CREATE TABLESPACE 'other'")
+    return e.query("SELECT tablespace_name, expectedreplicacount FROM systablespaces")
+
+
+@_df("SELECT TRUE AS has_node, TRUE AS has_config, CAST(0 AS BIGINT) AS n_replicas, CAST(0 AS BIGINT) AS n_statements, CAST(0 AS BIGINT) AS n_logs, CAST(0 AS BIGINT) AS n_clients")
+def system_cluster_tables(spark: SparkSession, folder: str) -> DataFrame:
+    return _engine(spark).query(
+        "SELECT (SELECT count(*) FROM sysnodes) = 1 AS has_node, (SELECT count(*) FROM sysconfig WHERE name = 'spark.app.name') = 1 AS has_config, (SELECT count(*) FROM systablespacereplicastate) AS n_replicas, "
+        "(SELECT count(*) FROM sysstatements) AS n_statements, (SELECT count(*) FROM syslogstatus) AS n_logs, (SELECT count(*) FROM sysclients) AS n_clients"
+    )

@@ -17,7 +17,7 @@ SPELLINGS: dict[type[T.DataType], str] = {
     T.BooleanType: "boolean bool bit",
 }
 NAMES = {word: kind for kind, words in SPELLINGS.items() for word in words.split()}
-VECTOR = T.ArrayType(T.FloatType(), containsNull=False)
+VECTOR = T.ArrayType(T.FloatType())
 
 
 def parse(name: str) -> T.DataType:

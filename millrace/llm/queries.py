@@ -47,7 +47,7 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.balanced(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.balanced(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate", "multiplier", "residual")
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import math
+import random
 import re
 
 import pytest
@@ -47,6 +49,51 @@ def test_mix(spark, docs, odd, none, data):
         own = [r for r in rows if sources[r.doc_id] == s]
         assert sum(r["size"] for r in own) == own[0].source_size
         assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.02)
+        assert len({r.rate for r in own}) > 10 and own[0].residual <= mixing.PRECISION
+
+
+def solved_by_halving(sizes, target, most=3):
+    """The multiplier of one source, by halving an interval."""
+    mean = sum(sizes) / sum(s > 0 for s in sizes)
+    taken = lambda l: sum(s * min(most, math.exp(min(50, l * s / mean))) for s in sizes)  # noqa: E731, E741
+    low, high = -1e4, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if taken(mid) < target else (low, mid)
+    return low
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_rates_against_brute_force(spark, seed):
+    """Multipliers by halving, and whether any document's rate could be changed to a better mix: the tilted rates satisfy
+    the conditions of the constrained minimum."""
+    r = random.Random(seed)
+    own = {f"s{k}": [int(r.lognormvariate(3, 1.3)) for _ in range(r.choice((1, 30, 200)))] for k in range(5)}
+    rows = [(i, s, "w " * n) for i, (s, n) in enumerate((s, n) for s, ns in own.items() for n in ns)]
+    got = {}
+    for x in mixing.balanced(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect():
+        got.setdefault(rows[x.doc_id][1], []).append(x)
+    want = filled([sum(own[s]) for s in sorted(own)])
+    for s, target in zip(sorted(own), want):
+        found = got[s]
+        assert found[0].target == pytest.approx(target)
+        if found[0].multiplier is None:
+            assert target == 0 or target == pytest.approx(3 * sum(own[s])) and all(x.copies == 3 for x in found if x["size"])
+            continue
+        assert sum(x["size"] * x.rate for x in found) == pytest.approx(target, rel=1e-8)
+        assert found[0].multiplier == pytest.approx(solved_by_halving(own[s], target), rel=1e-6, abs=1e-9)
+        mean = sum(own[s]) / sum(n > 0 for n in own[s])
+        assert all(x.rate == pytest.approx(min(3, math.exp(min(50, found[0].multiplier * x["size"] / mean)))) for x in found)
+        assert all(0 <= x.copies <= 3 for x in found) and abs(sum(x.taken for x in found) - target) <= max(own[s])
+
+
+def test_repeated_and_null_ids_keep_their_share(spark):
+    """Rows of one id, or none, are mixed as rows of their own: none of their source vanishes."""
+    rows = [(None if i % 2 else 7, "a" if i % 5 else "b", f"w{i} " * (1 + i % 9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    taken = {r.source: r.n for r in mixing.balanced(df).join(df.groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("source_size")), "source_size").groupBy("source").agg(F.sum("taken").alias("n")).collect()}
+    got = {r.source: r.n for r in mixing.mixed_documents(df).groupBy("source").agg(F.sum(mixing.n_words(F.col("text"))).alias("n")).collect()}
+    assert got == taken and set(got) == {"a", "b"}
 
 
 def test_hot_source_is_rounded_in_buckets(spark):

@@ -16,13 +16,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
 
-SHINGLE, SEED, DISTANCE, BLOCKS = 4, 42, 4, 7
+SHINGLE, SEED, DISTANCE, BLOCKS, SALTS = 4, 42, 4, 7, 32
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -50,13 +50,14 @@ def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id and the fingerprint's bits as a signed long."""
+    """doc_id, the fingerprint's bits as a signed long, and mark, a hash that tells texts apart."""
 
     def batch(b: pa.RecordBatch) -> dict:
         bits = np.array([fingerprint(t, width) for t in common.raw(b.column(1))], np.uint64)
-        return {"doc_id": b.column(0), "bits": bits.view(np.int64)}
+        return {"doc_id": b.column(0), "bits": bits.view(np.int64), "mark": b.column(2)}
 
-    return common.mapped(common.narrowed(docs, "doc_id", "text"), batch, "doc_id long, bits long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("mark"))
+    return common.mapped(rows, batch, "doc_id long, bits long, mark long")
 
 
 def block_edges(blocks: int) -> list[tuple[int, int]]:
@@ -90,18 +91,31 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     return a.join(b, on).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:
-    """doc_id, bits, component_id (smallest doc_id that links reach) and n_links (links of its fingerprint)."""
-    prints = common.staged(fingerprints(docs, width), "prints")
+def classed(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """bits, class, low: the class of every fingerprint, and the smallest id that has the fingerprint."""
     lowest = prints.groupBy("bits").agg(F.min("doc_id").alias("low"))
-    edges = common.staged(links(lowest.select("bits"), distance, blocks), "links")
     parts = components(edges)
+    return lowest.join(parts, lowest.bits == parts.node, "left").select("bits", "low", F.coalesce("component", "bits").alias("class"))
+
+
+def with_class(rows: DataFrame, per_class: DataFrame) -> DataFrame:
+    """rows (bits, class, ...) joined with one row a class. A class may hold any share of the fingerprints, so it is dealt to
+    SALTS tasks; what is known of a class is repeated for each."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("bits"), F.lit(SALTS)).cast("int"))
+    other = per_class.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return salted.join(other, ["class", "salt"]).drop("salt")
+
+
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, width: int = SHINGLE) -> DataFrame:
+    """doc_id, bits, mark, component_id (smallest doc_id that links reach), class and n_links (links of its fingerprint)."""
+    prints = common.staged(fingerprints(docs, width), "prints")
+    edges = common.staged(links(prints.select("bits").distinct(), distance, blocks), "links")
+    classes = classed(prints, edges)
     degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = lowest.join(parts, lowest.bits == parts.node, "left").select("bits", "low", F.coalesce("component", "bits").alias("class"))
-    ids = classes.groupBy("class").agg(F.min("low").alias("component_id"))
-    named = classes.join(ids, "class").join(degree, F.col("bits") == F.col("node"), "left")
-    named = named.select(F.col("bits").alias("b"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return prints.join(named, prints.bits == named.b).select("doc_id", "bits", "component_id", "n_links")
+    named = with_class(classes, classes.groupBy("class").agg(F.min("low").alias("component_id")))
+    named = named.join(degree, F.col("bits") == F.col("node"), "left")
+    named = named.select(F.col("bits").alias("b"), "class", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return prints.join(named, prints.bits == named.b).select("doc_id", "bits", "mark", "class", "component_id", "n_links")
 
 
 def hex16(bits: Column) -> Column:
@@ -109,11 +123,16 @@ def hex16(bits: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Pipeline stage: the document of smallest id of each group, and one row where ids repeat; all columns are kept.
-
-    Rows with a null id aren't comparable and stay."""
-    found = near_duplicates(docs, distance, blocks)
-    own = common.fresh(docs, "first_id")
-    firsts = found.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
-    known = docs.join(firsts, docs["doc_id"] == firsts[own], "left_semi").dropDuplicates(["doc_id"])
-    return known.unionAll(docs.where(F.col("doc_id").isNull()))
+    """Pipeline stage: one row of each group of near-duplicates, that of smallest id (then of smallest hash of its text, then
+    of smallest hash of the whole row), with all its columns. Rows are told apart by id and text, so where ids repeat, a text
+    stays unless it is itself a duplicate. Rows with a null id aren't comparable and stay.
+
+    The rows themselves are shuffled once, to meet the list of those that stay."""
+    found = near_duplicates(docs, distance, blocks).where("doc_id IS NOT NULL")
+    firsts = found.groupBy("class").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    own, at, rank = (common.fresh(docs, n) for n in ("first_key", "first_at", "first_rank"))
+    firsts = firsts.select(F.xxhash64("first.doc_id", "first.mark").alias(own))
+    rows = docs.where(F.col("doc_id").isNotNull()).withColumn(at, F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    same = Window.partitionBy(at).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    known = rows.join(firsts, F.col(at) == F.col(own), "left_semi").withColumn(rank, F.row_number().over(same)).where(F.col(rank) == 1)
+    return known.select(*(F.col(f"`{c}`") for c in docs.columns)).unionAll(docs.where(F.col("doc_id").isNull()))

@@ -81,3 +81,15 @@ def test_query_columns(spark, data):
     df = QUERIES["op4_simhash"](spark, data)
     assert df.dtypes[:3] == [("doc_id", "bigint"), ("fingerprint", "string"), ("component_id", "bigint")]
     assert all(re.fullmatch("[0-9a-f]{16}", r.fingerprint) for r in df.collect())
+
+
+def test_repeated_ids_keep_each_text(spark, words):
+    """Rows (0, A), (1, B), (1, A): A stays with 0 and B with 1, in every order of the rows; whole repeats stay once."""
+    a, b, c = (words(k, 50) for k in range(3))
+    rows = [(0, a, "x"), (1, b, "x"), (1, a, "x"), (2, c, "x"), (2, c, "x"), (2, c, "y"), (3, b + " more", "x")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        for parts in (1, 4):
+            df = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(parts)
+            got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(df).collect())
+            assert got[:3] == sorted([(0, a), (1, b), (2, c)])
+            assert len(got) == 3 + (bin(simhash.fingerprint(b.encode()) ^ simhash.fingerprint((b + " more").encode())).count("1") > 4)

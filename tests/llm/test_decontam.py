@@ -1,3 +1,4 @@
+import math
 import random
 
 from millrace.llm import decontam
@@ -8,7 +9,7 @@ def brute(index, words):
     score = {}
     for w in set(words):
         if w in index.terms:
-            for i, x in index.postings[index.terms[w]]:
+            for i, x in zip(index.item[index.term == index.terms[w]].tolist(), index.value[index.term == index.terms[w]].tolist()):
                 score[i] = score.get(i, 0) + x
     return {i for i, s in score.items() if s >= 1}
 
@@ -79,3 +80,31 @@ def test_index_in_shards(spark, docs, words):
         decontam.SHARD_BYTES = old
     found = [m for index in decontam.shards(bench, 2000) for m in decontam.matches(index, [decontam.words_of(words(1, 60))])]
     assert len(found) == 6
+
+
+def test_results_do_not_depend_on_shards(spark, docs, words, monkeypatch):
+    """Scores, places and numbers of passages come from statistics of the whole benchmark."""
+    bench = spark.createDataFrame([(i, words(1, 60) if i % 9 == 0 else words(2, 40) if i % 9 == 1 else words(300 + i, 20 + i)) for i in range(60)], "item_id long, text string")
+    found = []
+    for size in (1 << 20, 4000, 900):
+        monkeypatch.setattr(decontam, "SHARD_BYTES", size)
+        monkeypatch.setattr(decontam.shards, "__defaults__", (size,))
+        found.append(sorted(tuple(r) for r in decontam.leaks(docs, bench).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 10
+
+
+def test_scores_are_bm25(words):
+    """Impacts against the formula, from the texts."""
+    own = items(words, 25)
+    index = decontam.Index(own)
+    bags = {i: decontam.words_of(t) for i, t in own}
+    mean = sum(map(len, bags.values())) / len(bags)
+    for i, bag in bags.items():
+        score = {}
+        for w in set(bag):
+            n = sum(w in b for b in bags.values())
+            tf = bag.count(w)
+            score[w] = math.log(1 + (len(bags) - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(bag) / mean))
+        got = {w: x for w, t in index.terms.items() for j, x in zip(index.item[index.term == t].tolist(), index.value[index.term == t].tolist()) if j == index.items.index(i)}
+        ratio = [got[w] / score[w] for w in score]
+        assert set(got) == set(score) and max(ratio) - min(ratio) < 1e-6 * max(ratio)

@@ -1,8 +1,10 @@
 """Secret scan with structural confirmation.
 
-Three base kinds are plain patterns. The others report a candidate only once its structure holds: base64 or hex is
-decoded, DER lengths must nest and fill the value, an OpenSSH key must carry its length-prefixed fields, a signed token
-must have a JSON header with an algorithm and a JSON body.
+Three base kinds are plain patterns. The others report a candidate only once its structure holds: base64 (also wrapped in
+lines, or with escaped line ends) or hex is decoded, DER lengths must nest at every level and fill the value, whose shape must be that of a
+private key (also an encrypted one), an OpenSSH key must carry its length-prefixed fields, a PEM key encrypted by its headers must
+name a cipher and an IV and hold whole blocks, a signed token must have a JSON header with an algorithm and a JSON body. Public keys
+aren't secrets. Where a value ends follows from its own lengths; it must end where its base64 does.
 
 Null or empty text: no spans. Very long texts are scanned whole. Repeated rows give repeated rows; spans at the same place
 are ordered by kind. Only doc_id and text are read, so other columns, whatever their names, do no harm.
@@ -32,11 +34,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----)[\s\S])*)-----END \1-----")
+DEK = re.compile(r"[A-Z0-9-]+,((?:[0-9A-Fa-f]{2}){8,16})")
+#: A JSON object that starts with a quote, a space or a line end.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+#: Base64 of a DER sequence or of the OpenSSH magic; what goes before may be a path or a quote, but no letter or digit.
+KEY64 = re.compile(r"(?<![A-Za-z0-9])(?:M[A-P][A-Za-z0-9+/]{30}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{20})")
+LINE64 = re.compile(r"([A-Za-z0-9+/]+)((?:(?:\\r)?\\n|\r?\n[ \t]*)?)")
 HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{62,}+|6f70656e7373682d[0-9A-Fa-f]{48,}+)")
-SSH = b"openssh-key-v1\0"
+SSH, DEPTH = b"openssh-key-v1\0", 16
 
 Span = tuple[str, int, int]
 
@@ -79,42 +85,121 @@ def der_item(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + n) if at + n <= end else None
 
 
-def der_key(data: bytes) -> bool:
-    """A private or public key: an outer SEQUENCE that fills the data, of well-formed items, of a shape that keys have:
-    version and integers (RSA, DSA), version and octets (EC, PKCS 8), or algorithm and bit string (public keys)."""
-    outer = der_item(data, 0, len(data))
-    if not outer or outer[0] != 0x30 or outer[2] != len(data):
-        return False
-    tags, at = [], outer[1]
-    while at < outer[2]:
-        item = der_item(data, at, outer[2])
-        if not item:
+def der_nests(data: bytes, at: int, end: int, depth: int = DEPTH) -> bool:
+    """Whether items fill a range, and those in them likewise."""
+    while at < end:
+        item = der_item(data, at, end)
+        if not item or item[0] & 0x20 and (not depth or not der_nests(data, item[1], item[2], depth - 1)):
             return False
-        if item[0] & 0x20:
-            inner = item[1]
-            while inner < item[2]:
-                found = der_item(data, inner, item[2])
-                if not found:
-                    return False
-                inner = found[2]
+        at = item[2]
+    return True
+
+
+def der_tags(data: bytes, at: int, end: int) -> list[int]:
+    tags = []
+    while at < end:
+        item = der_item(data, at, end)
+        if not item:
+            return []
         tags.append(item[0])
         at = item[2]
-    numbers = len(tags) >= 2 and all(t == 0x02 for t in tags)
-    private = tags[:1] == [0x02] and 0x04 in tags[1:3]
-    public = tags == [0x30, 0x03]
-    return numbers and len(data) >= 48 or private or public
+    return tags
+
+
+def der_key(data: bytes) -> bool:
+    """A private key: an outer SEQUENCE that fills the data, nested well at every level, of a shape that private keys have:
+    integers (RSA, DSA; public ones have two at most), version and octets (EC), version, algorithm and octets (PKCS 8), algorithm and octets (encrypted)."""
+    outer = der_item(data, 0, len(data))
+    if not outer or outer[0] != 0x30 or outer[2] != len(data) or not der_nests(data, 0, len(data)):
+        return False
+    tags = der_tags(data, outer[1], outer[2])
+    if tags == [0x30, 0x04]:
+        first = der_item(data, outer[1], outer[2])
+        return der_tags(data, first[1], first[2])[:1] == [0x06] and len(data) >= 48
+    numbers = len(tags) >= 6 and all(t == 0x02 for t in tags)
+    return numbers and len(data) >= 48 or tags[:2] == [0x02, 0x04] or tags[:3] == [0x02, 0x30, 0x04]
+
+
+def der_size(head: bytes) -> int | None:
+    """The size of a DER sequence, from its first bytes."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    if head[1] < 0x80:
+        return head[1] + 2
+    n = head[1] & 0x7F
+    return int.from_bytes(head[2 : 2 + n], "big") + 2 + n if 1 <= n <= 4 else None
 
 
 def ssh_key(data: bytes) -> bool:
-    """OpenSSH private key: the magic, then cipher, KDF and options with lengths, and a count of keys."""
+    """OpenSSH private key: the magic, then cipher, KDF and options with lengths, and a count of keys. What follows may be cut
+    off: the head alone tells what it is."""
+    return ssh_parts(data) is not None
+
+
+def ssh_parts(data: bytes) -> int | None:
+    """Where the public and private parts of an OpenSSH private key end by their lengths, or the end of the data if they don't fit."""
     if not data.startswith(SSH):
-        return False
+        return None
     at = len(SSH)
     for _ in range(3):
         if at + 4 > len(data):
-            return False
+            return None
         at += 4 + int.from_bytes(data[at : at + 4], "big")
-    return at + 4 <= len(data) and 1 <= int.from_bytes(data[at : at + 4], "big") <= 16
+    if at + 4 > len(data) or not 1 <= (n := int.from_bytes(data[at : at + 4], "big")) <= 16:
+        return None
+    at += 4
+    for _ in range(n + 1):
+        if at + 4 > len(data):
+            return len(data)
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else len(data)
+
+
+def gathered(text: str, start: int, need: int | None) -> tuple[str, int]:
+    """Base64 from a place on, over line ends, `need` characters of it or all; and where it ends. "" if it goes on behind."""
+    parts, have, at = [], 0, start
+    while m := LINE64.match(text, at):
+        part = m[1] if need is None else m[1][: need - have]
+        parts.append(part)
+        have, end = have + len(part), m.start() + len(part)
+        if len(part) < len(m[1]):
+            return "", end
+        if have == need or not m[2]:
+            break
+        at = m.end()
+    if not parts or need is not None and have < need:
+        return "", start
+    for _ in range(2):
+        end += text[end : end + 1] == "="
+    return "".join(parts), end
+
+
+def key64(text: str, start: int) -> tuple[str, int] | None:
+    """Kind and end of the private key whose base64 starts at a place."""
+    if text.startswith("M", start):
+        size = der_size(unbase64(text[start : start + 8]) or b"")
+        if not size or size < 32:
+            return None
+        found, end = gathered(text, start, -(-size * 4 // 3))
+        return ("der_key", end) if found and der_key(unbase64(found) or b"") else None
+    found, end = gathered(text, start, None)
+    data = unbase64(found) or unbase64(found[: len(found) // 4 * 4]) or b""
+    size = ssh_parts(data)
+    if not size:
+        return None
+    exact, at = gathered(text, start, -(-size * 4 // 3))
+    return "ssh_key", at if exact else end
+
+
+def pem_key(body: str) -> bool:
+    """The body of a PEM private key: base64 of a key, or headers of an encryption and whole blocks."""
+    lines = body.replace("\\r", "").replace("\\n", "\n").split("\n")
+    headers = {k.strip(): v.strip() for k, mark, v in (x.partition(":") for x in lines) if mark}
+    data = unbase64("".join(x for x in lines if ":" not in x))
+    if headers:
+        iv = DEK.fullmatch(headers.get("DEK-Info", "").replace(" ", ""))
+        return bool(data and iv and headers.get("Proc-Type", "").replace(" ", "") == "4,ENCRYPTED" and len(data) >= 32 and len(data) % (len(iv[1]) // 2) == 0)
+    return bool(key_kind(data))
 
 
 def signed_token(text: str) -> bool:
@@ -136,15 +221,14 @@ def key_kind(data: bytes | None) -> str | None:
 def confirmed_spans(text: str) -> Iterator[Span]:
     """Candidates whose decoded structure holds."""
     for m in PEM.finditer(text):
-        if key_kind(unbase64(m[2])):
+        if pem_key(m[2]):
             yield "pem_key", m.start(), m.end()
-    if "eyJ" in text:
-        for m in TOKEN.finditer(text):
-            if signed_token(m[0]):
-                yield "signed_token", m.start(), m.end()
-    for m in BASE64.finditer(text):
-        if kind := key_kind(unbase64(m[0])):
-            yield kind, m.start(), m.end()
+    for m in TOKEN.finditer(text):
+        if signed_token(m[0]):
+            yield "signed_token", m.start(), m.end()
+    for m in KEY64.finditer(text):
+        if found := key64(text, m.start()):
+            yield found[0], m.start(), found[1]
     for m in HEXES.finditer(text):
         if kind := key_kind(bytes.fromhex(m[0][: len(m[0]) // 2 * 2])):
             yield kind, m.start(), m.end()

@@ -62,3 +62,61 @@ def test_base_spans_by_definition(spark, docs, none, odd):
 def test_found(spark):
     df = spark.createDataFrame([(1, f"é token=abcdefgh {JWT}"), (2, None)], "doc_id long, text string")
     assert {(r.kind, r.value) for r in secrets.found(df).collect()} == {("assign", "token=abcdefgh"), ("signed_token", JWT)}
+
+
+ALGORITHM = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(0x30, der(6, b"\x2a\x03") + der(4, b"salt" * 4))))
+ENCRYPTED = der(0x30, ALGORITHM + der(4, bytes(range(64))))
+PKCS8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48") + b"\x05\0") + der(4, RSA))
+EC = der(0x30, der(2, b"\1") + der(4, bytes([9] * 32)) + der(0xA0, der(6, b"\x2a\x86\x48")))
+LEGACY = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{'0A' * 16}\n\n{B64(bytes(range(96)))}\n-----END RSA PRIVATE KEY-----"
+
+
+def wrapped(text, n=64, end="\n"):
+    return end.join(text[i : i + n] for i in range(0, len(text), n))
+
+
+@pytest.mark.parametrize("key", [ENCRYPTED, PKCS8, EC, RSA])
+def test_private_keys_of_every_encoding(key):
+    text, kind = B64(key), ["der_key"]
+    assert kinds(f"k={text};") == kinds(f"x {key.hex()} y") == kinds(f"path/{text} y") == kinds(f'"{text}"') == kind
+    for end in ("\n", "\r\n", "\\n", "\n  "):
+        body = wrapped(text, 64, end)
+        assert kinds(f"see\n{body}\nthen more words") == kind
+        spans = [s for s in secrets.confirmed_spans(f"see\n{body}")]
+        assert spans == [("der_key", 4, 4 + len(body))]
+    for end in ("\n", "\\n"):
+        name = "ENCRYPTED PRIVATE KEY"
+        assert "pem_key" in kinds(f"-----BEGIN {name}-----{end}{wrapped(text, 64, end)}{end}-----END {name}-----")
+
+
+def test_legacy_encrypted_pem():
+    assert kinds(LEGACY) == ["pem_key"]
+    for broken in (LEGACY.replace("DEK-Info", "DEK-Inf"), LEGACY.replace("0A" * 16, "0A" * 3), LEGACY.replace("4,ENCRYPTED", "4,CLEAR"), LEGACY.replace(B64(bytes(range(96))), B64(bytes(range(95))))):
+        assert kinds(broken) == []
+
+
+def test_public_keys_are_no_secrets():
+    spki = der(0x30, der(0x30, der(6, b"\x2a\x86\x48") + b"\x05\0") + der(3, b"\0" + bytes([5] * 90)))
+    pkcs1 = der(0x30, der(2, bytes([7] * 128)) + der(2, b"\1\0\1"))
+    for key in (spki, pkcs1):
+        assert kinds(B64(key)) == kinds(key.hex()) == kinds(f"-----BEGIN PUBLIC KEY-----\n{B64(key)}\n-----END PUBLIC KEY-----") == []
+
+
+def test_nesting_is_followed_at_every_level():
+    deep = lambda inner: der(0x30, der(2, b"\0") + der(0x30, der(0x30, der(0x30, inner))) + der(4, bytes(40)))
+    assert kinds(B64(deep(der(2, b"\1")))) == ["der_key"]
+    assert kinds(B64(deep(b"\x02\x09\1"))) == []
+
+
+@pytest.mark.parametrize("start", ["{ \"alg\"", "{\n\"alg\"", "{\r\n  \"alg\"", "{\t\"alg\""])
+def test_tokens_with_white_space_in_their_header(start):
+    url = lambda x: base64.urlsafe_b64encode(x.encode()).decode().rstrip("=")
+    assert kinds(f"x {url(start + ': ' + chr(34) + 'RS256' + chr(34) + '}')}.{url('{ }')}.c2ln y") == ["signed_token"]
+
+
+def test_whole_ssh_key_ends_by_its_lengths():
+    part = lambda x: len(x).to_bytes(4, "big") + x
+    key = b"openssh-key-v1\0" + part(b"none") + part(b"none") + part(b"") + b"\0\0\0\1" + part(b"p" * 51) + part(b"s" * 144)
+    body = wrapped(B64(key), 70)
+    assert list(secrets.confirmed_spans(f"a\n{body}\nwords follow")) == [("ssh_key", 2, 2 + len(body))]
+    assert "pem_key" in kinds(f"-----BEGIN OPENSSH PRIVATE KEY-----\n{body}\n-----END OPENSSH PRIVATE KEY-----")

@@ -105,7 +105,8 @@ def planned(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = M
     goals = common.staged(goals, "goals")
     found = solved(histogram.where("size > 0"), goals, most).withColumnRenamed("source", "of")
     common.dropped(histogram)
-    return goals.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    # Written, so that its size is known: Spark sends it to all tasks if it is small, and shuffles it if not.
+    return common.staged(goals.join(found, F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "plan")
 
 
 def rates(size: Column, most: int = MOST) -> Column:
@@ -164,9 +165,16 @@ def _mended(rows: DataFrame, part: WindowSpec, most: int) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Pipeline stage: each row as often as the mix takes it, with all its columns. Rows are never matched by id: the row
-    itself goes through the rounding, so repeated and null ids are rows like others."""
-    plan = planned(common.staged(measured(docs), "sizes"), weights, most)
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    found = mixed(measured(docs, row), plan, most, BUCKET_ROWS).where("copies > 0")
-    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    """Pipeline stage: each row as often as the mix takes it, with all its columns. Rows are matched by id, source and text; those
+    that agree in all three share their copies out evenly, in order of a hash of the whole row. Texts are shuffled once."""
+    thin = common.staged(measured(docs), "sizes")
+    found = mixed(thin, planned(thin, weights, most), most, BUCKET_ROWS)
+    key, own, times, alike, rank = (common.fresh(docs, f"mixed_{n}") for n in ("key", "own", "times", "alike", "rank"))
+    counts = found.groupBy(F.xxhash64("doc_id", "source", "mark").alias(own)).agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias(alike)).where(F.col(times) > 0)
+    rows = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64("text")))
+    rows = rows.join(counts, F.col(key) == F.col(own))
+    order = Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    rows = rows.withColumn(rank, F.row_number().over(order))
+    copies = F.floor(F.col(times) / F.col(alike)) + (F.col(rank) <= F.pmod(F.col(times), F.col(alike))).cast("long")
+    rows = rows.withColumn(times, copies).where(F.col(times) > 0)
+    return rows.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(rank)).drop(rank)

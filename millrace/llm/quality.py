@@ -98,6 +98,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return common.mapped(common.narrowed(docs, "doc_id", "text"), _batch, SCHEMA).withColumn("fail_bits", bits())
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written to the shared folder and read back: policies, verdicts and ablations read it, never a text."""
+    return common.staged(ledger(docs), "ledger")
+
+
 def mask(policy: str) -> int:
     return sum(BIT[name] for name in POLICIES[policy])
 
@@ -108,7 +113,8 @@ def passes(policy: str) -> Column:
 
 
 def ablations(rows: DataFrame, policy: str) -> DataFrame:
-    """For each rule of a policy: rows that fail it, that only it rejects, and that would be kept without it.
+    """For each rule of a policy: rows that fail it, that only it rejects, and that would be kept without it. An empty ledger
+    gives no rows.
 
     The ledger is first counted by bit pattern, at most 2^rules rows, so the work per rule doesn't depend on the corpus."""
     patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long")).alias("p")).agg(F.count(F.lit(1)).alias("n"))
@@ -124,10 +130,10 @@ def ablations(rows: DataFrame, policy: str) -> DataFrame:
     )
 
 
-def judged(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The digest of the ledger: base columns, verdict of the policy, bits and measurements."""
+def judged(rows: DataFrame, policy: str = "v1") -> DataFrame:
+    """The digest of a ledger: base columns, verdict of the policy, bits and measurements."""
     base = F.col("fail_bits").bitwiseAND(F.lit(mask("base")).cast("long")) != 0
-    return ledger(docs).select(
+    return rows.select(
         "doc_id", *MEASURES[:5], base.alias("base_failed"), (~base & passes(policy)).alias("kept"),
         F.lit(policy).alias("policy"), "fail_bits", *MEASURES[5:],
     )

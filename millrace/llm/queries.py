@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anchors, ans, contextmix, decontam, kneser, mixing, quality, secrets, simhash, sufarr
+from . import anchors, ans, contextmix, decontam, kneser, mixing, oracles, quality, secrets, simhash, sufarr
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +18,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judged(table(spark, sf_dir, "documents"))
+    return quality.judged(quality.stored(table(spark, sf_dir, "documents")))
 
 
 def word_bpe() -> str:
@@ -65,4 +65,4 @@ def op10_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_quality_rules, op3_token_output, op4_simhash, op5_kneser_ney, op6_suffix_array, op7_mixing, op8_context_mixing, op9_secrets, op10_anchors)}
 #: DuckDB SQL for the queries that SQL can express on whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_quality_rules": oracles.OP2, "op6_suffix_array": oracles.OP6, "op10_anchors": oracles.OP10}

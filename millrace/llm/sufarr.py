@@ -283,10 +283,12 @@ def masks_of(s: Segments) -> np.ndarray:
             shift = (start - s.start)[part[hit]] + place
             np.bitwise_or.at(masks, part[hit], np.uint32(1) << shift.astype(np.uint32))
         a = b
-    # All strings of what a smaller document's segment equals; those of one document share their bits.
-    strings = (np.uint64(1) << (end - start - WIDTH + 1)[own].astype(np.uint64)) - np.uint64(1)
-    whole = (strings << (start - s.start)[own].astype(np.uint64)).astype(np.uint32)
-    masks[own] = np.where(s.docs[own] > s.docs[first], whole, masks[first])
+    # All strings of what a smaller document's segment equals; segments of one document share their bits, counted from
+    # where they are cut.
+    before = (start - s.start).astype(np.uint64)
+    whole = (np.uint64(1) << (end - start - WIDTH + 1)[own].astype(np.uint64)) - np.uint64(1)
+    shared = masks[first].astype(np.uint64) >> before[first]
+    masks[own] = (np.where(s.docs[own] > s.docs[first], whole, shared) << before[own]).astype(np.uint32)
     return masks
 
 

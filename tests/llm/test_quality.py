@@ -24,7 +24,7 @@ def brute(text):
 
 
 def test_measurements(docs, corpus):
-    got = sorted(tuple(r) for r in quality.judged(docs).select("doc_id", *quality.MEASURES[:5], "base_failed").collect())
+    got = sorted(tuple(r) for r in quality.judged(quality.ledger(docs)).select("doc_id", *quality.MEASURES[:5], "base_failed").collect())
     want = []
     for i, t, *_ in corpus:
         m = brute(t)
@@ -33,7 +33,7 @@ def test_measurements(docs, corpus):
 
 
 def test_verdicts(docs):
-    kept = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    kept = {r.doc_id: r.kept for r in quality.judged(quality.ledger(docs)).collect()}
     assert kept[1] and kept[2] and kept[8] and kept[10]
     assert not any(kept[i] for i in (4, 5, 6, 7, 12, 15, 16, 17))
 
@@ -55,8 +55,8 @@ def test_stage_keeps_columns(odd, none):
     assert kept.schema == odd.schema
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect())
     assert ids == [(False, 1), (False, 2), (False, 3), (False, 8), (False, 9), (True, 0)]
-    assert quality.kept_documents(none).count() == 0 and quality.judged(none).count() == 0
-    assert quality.judged(odd).where(F.col("doc_id").isNull()).count() == 2
+    assert quality.kept_documents(none).count() == 0 and quality.judged(quality.ledger(none)).count() == 0
+    assert quality.judged(quality.ledger(odd)).where(F.col("doc_id").isNull()).count() == 2
 
 
 def test_word_codes():
@@ -66,3 +66,12 @@ def test_word_codes():
     assert [distinct[i] for i in codes.tolist()] == words and counts.tolist() == want.tolist()
     codes, counts, distinct = common.word_codes([])
     assert len(codes) == len(counts) == len(distinct) == 0
+
+
+def test_stored_ledger_is_all_that_policies_read(docs, none):
+    rows = quality.stored(docs)
+    assert sorted(map(tuple, quality.judged(rows).collect())) == sorted(map(tuple, quality.judged(quality.ledger(docs)).collect()))
+    for df in (quality.judged(rows), quality.judged(rows, "base"), quality.ablations(rows, "v1")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "text" not in plan
+    assert quality.ablations(quality.ledger(none), "v1").count() == 0

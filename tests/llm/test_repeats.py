@@ -73,10 +73,14 @@ def test_anchors_in_batches(spark, corpus, monkeypatch):
     import pyarrow as pa
 
     r = random.Random(1)
-    side = lambda n: bytes(r.choice(b"\x00b" if r.random() < 0.3 else b"\x00") for _ in range(n))
+    side = lambda n: bytes(r.choice(b"\x00b" if r.random() < 0.08 else b"\x00") for _ in range(n))
     middles = [bytes(r.choice(b"cdef") for _ in range(20)) for _ in range(3)]  # anchors; every string holds its own
     places, keys = [r.choice((30, 30, 25, 22)) for _ in range(80)], [r.randrange(3) for _ in range(80)]
     texts = [side(p) + middles[k] + side(r.choice((20, 30, 28))) for p, k in zip(places, keys)]
+    for i in range(1, 80, 2):  # documents have two segments each; some repeat what is near the anchor, with less before it
+        if r.random() < 0.6:
+            cut = r.randint(0, 8)
+            keys[i], places[i], texts[i] = keys[i - 1], places[i - 1] - cut, texts[i - 1][cut:]
     table = lambda own: pa.Table.from_pylist([{"bucket": 0, "chunk": 5, **{n: sufarr.zlib.compress(x) for n, x in (
         ("docs", np.array([i // 2 for i in own], "<i8").tobytes()), ("keys", np.array([keys[i] for i in own], "<u4").tobytes()),
         ("sizes", np.array([len(texts[i]) for i in own], "<u2").tobytes()), ("places", np.array([places[i] for i in own], "u1").tobytes()),
@@ -94,6 +98,18 @@ def test_anchors_in_batches(spark, corpus, monkeypatch):
     assert found[0] == found[1] and all(a | b == b for a, b in zip(found[0], found[2]))
 
 
+def test_equal_parts_of_one_document(spark, words):
+    """A document that has a repeated passage twice, with other bytes before and behind it each time, among others that have it."""
+    r = random.Random(2)
+    passage = [words(900 + k, 14) for k in range(4)]
+    rows = []
+    for i in range(60):
+        parts = [x for k in range(4) for x in (words(1000 + 10 * i + k, r.randint(1, 9)), r.choice(passage)[r.randint(0, 12) :][: r.choice((52, 55, 60, 75))])]
+        rows.append((i, " ".join(parts)))
+    got = sufarr.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", F.size("spans"), F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got)) == kept_bytes(rows)
+
+
 def test_edge_cases(odd, none):
     for f in (anchors.deduplicated, sufarr.deduplicated):
         assert f(none).count() == 0

@@ -1,6 +1,6 @@
 """Exchanging keys between chunks of documents without moving a row for each key.
 
-Documents are dealt by a hash of their id to chunks of bounded text. A chunk sends the keys of its places (windows, blocks,
+Documents are dealt by a hash of their id and text to chunks of bounded text, so rows without an id, or of one id, are spread too. A chunk sends the keys of its places (windows, blocks,
 anchors) to buckets, one packed row for each (chunk, bucket): 4 or 12 bytes a key, the owners' ids as compressed deltas.
 A bucket holds all places of its keys and so can tell which keys other documents hold; it answers each chunk with the
 numbers of the entries concerned. Chunks and buckets grow in number with the text, not in size, and equal keys of one
@@ -32,7 +32,7 @@ def chunked(docs: DataFrame, size: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
     total = docs.agg(F.sum(F.octet_length("text") + 64).alias("n")).first()["n"] or 1
     n = max(1, math.ceil(total / size))
     common.prepare(docs.sparkSession)
-    rows = common.narrowed(docs, "doc_id", "text").withColumn("chunk", F.pmod(F.hash("doc_id"), F.lit(n)).cast("int"))
+    rows = common.narrowed(docs, "doc_id", "text").withColumn("chunk", F.pmod(F.hash("doc_id", F.xxhash64("text")), F.lit(n)).cast("int"))
     return rows.repartition(n, "chunk"), n
 
 

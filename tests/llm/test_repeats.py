@@ -172,3 +172,11 @@ def test_rolled():
                 h = (h * 0x9E3779B97F4A7C15 + int(x[i + k])) % (1 << 64)
             want.append(h)
         assert got.tolist() == exchange.mixed(np.array(want, np.uint64)).tolist()
+
+
+def test_rows_without_an_id_are_spread(spark):
+    """A third of the rows without an id, and a third of one id: no chunk holds them all."""
+    df = spark.range(900).selectExpr("CASE id % 3 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE id END AS doc_id", "concat('text ', id) AS text")
+    rows, n = exchange.chunked(df, 3000)
+    sizes = [r["count"] for r in rows.groupBy("chunk").count().collect()]
+    assert n > 20 and len(sizes) > n / 2 and max(sizes) < 900 / n * 3

@@ -13,8 +13,6 @@ other; null ids neither cover nor are covered. An empty table gives no rows; oth
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,34 +25,13 @@ WIDTH = 13
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-class WordHashes(dict):
-    """64-bit hash of each word, remembered up to a limit."""
-
-    LIMIT = 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.LIMIT:
-            self.clear()
-        return np.fromiter((self[w] for w in words), np.uint64, len(words))
-
-
-@cache
-def word_hashes() -> WordHashes:
-    """One for each Python worker."""
-    return WordHashes()
-
-
 class Words:
     """A chunk's words, and the windows that lie within one document of known id and of at least `width` words."""
 
     def __init__(self, rows: Rows, width: int):
         self.rows, self.width = rows, width
-        self.words, self.counts = common.flat_words(rows.texts)
-        self.values = word_hashes().of(self.words)
+        codes, self.counts, distinct = common.word_codes(rows.texts)
+        self.values = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[codes]
         self.owner = common.owners(self.counts)
         ends = np.cumsum(self.counts)
         self.first, self.last = (ends - self.counts)[self.owner], ends[self.owner]
@@ -137,7 +114,9 @@ def removed(rows: Rows, met_answers: pa.Table, answers: pa.Table, width: int, n:
     out: dict[str, list] = {f.name: [] for f in RESULT_ARROW}
     for i, (a, b) in enumerate(zip((ends - words.counts).tolist(), ends.tolist())):
         own = gone[a:b]
-        kept = words.words[a:b] if not own.any() else [w for w, g in zip(words.words[a:b], own.tolist()) if not g]
+        kept = rows.texts[i].split()
+        if own.any():
+            kept = [w for w, g in zip(kept, own.tolist()) if not g]
         row = (int(rows.ids[i]) if rows.known[i] else None, b - a, int(own.sum()), runs_of(own), b" ".join(kept).decode("utf-8", "replace"))
         for name, value in zip(out, row):
             out[name].append(value)

@@ -1,10 +1,12 @@
 import re
 
+import duckdb
 import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from millrace.llm import mixing, simhash
+from millrace.llm.oracles import OP2
 from millrace.llm.queries import QUERIES
 from tests.llm.test_quality import brute as measured
 from tests.llm.test_simhash import brute as fingerprint
@@ -29,6 +31,12 @@ def test_stages(spark, data):
         if n < 20 or 100 * again > 30 * n or 10 * symbols > n:
             assert r["doc_id"] not in kept
     assert len(kept) > len(before) / 2
+    # Both ways: SQL's verdicts on the same rows, and each kept row as it was.
+    sql = duckdb.connect()
+    sql.execute(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    assert kept == {i for i, ok in sql.execute(f"SELECT doc_id, kept FROM ({OP2})").fetchall() if ok}
+    assert sorted(r["doc_id"] for r in after) == sorted(r["doc_id"] for r in before if r["doc_id"] in kept)
+    assert {r["doc_id"]: r["text"] for r in after}.items() <= {r["doc_id"]: r["text"] for r in before}.items()
 
     before, after = map(rows, found[1])
     part = classes([(r["doc_id"], fingerprint(r["text"])) for r in before])

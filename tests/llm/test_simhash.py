@@ -93,3 +93,13 @@ def test_repeated_ids_keep_each_text(spark, words):
             got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(df).collect())
             assert got[:3] == sorted([(0, a), (1, b), (2, c)])
             assert len(got) == 3 + (bin(simhash.fingerprint(b.encode()) ^ simhash.fingerprint((b + " more").encode())).count("1") > 4)
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """35 keys a fingerprint and 32 salts a class escape Spark's estimate of sizes; broadcast, they fill the driver."""
+    prints = spark.range(1000).select(F.xxhash64("id").alias("bits"), F.col("id").alias("low"), (F.col("id") % 7).alias("class"))
+    for df in (simhash.links(prints.select("bits")), simhash.with_class(prints, prints.groupBy("class").agg(F.min("low").alias("component_id")))):
+        df.count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate explode" in plan or "Generate posexplode" in plan
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import kneser
+from millrace.llm import kneser, queries
 
 
 def brute(texts):
@@ -122,3 +122,37 @@ def test_sample_is_not_cut_below_4000(spark, monkeypatch):
     with pytest.raises(StopIteration):
         kneser.judged(docs, labels)
     assert sizes == [4_000]
+
+
+def test_query_fits_on_the_whole_fold(spark, monkeypatch, tmp_path):
+    """10,000 trusted documents: the query's model sees all of the even fold, not 4,000 of it."""
+    sizes = []
+
+    def fitted(fit):
+        sizes.append(fit.count())
+        raise StopIteration
+
+    monkeypatch.setattr(kneser, "fitted", fitted)
+    spark.range(10_000).selectExpr("id AS doc_id", "'a b' AS text", "'en' AS lang").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(10_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    with pytest.raises(StopIteration):
+        queries.op5_kneser_ney(spark, str(tmp_path))
+    assert sizes == [spark.range(10_000).where("pmod(xxhash64(id), 2) = 0").count()]
+
+
+def test_filter_made_in_tasks_is_the_same(spark):
+    df = spark.range(70_000).select(F.xxhash64("id").alias("key")).repartition(3)
+    keys = np.array([r.key for r in df.collect()], np.int64).view(np.uint64)
+    for own, some in ((keys, df), (keys[:0], df.limit(0))):
+        assert (kneser.Filter.of(some).bits == kneser.Filter(own).bits).all()
+
+
+def test_thresholds_are_exact(spark):
+    """Rank ceil(q * n) of each language and of all, over more rows than an approximate quantile of 10,000 holds."""
+    rng = np.random.default_rng(5)
+    rows = [(["en", "de", None][i % 7 % 3], float(x)) for i, x in enumerate(rng.lognormal(3, 2, 30_000))] + [("fr", 2.5), ("es", None)]
+    df = spark.createDataFrame(rows, "lang string, perplexity double").repartition(4)
+    got = {(r.lang, r.whole): r.threshold for r in kneser.thresholds(df, 0.995).collect()}
+    groups = {(k, False): sorted(x for l, x in rows if l == k and x is not None) for k in ("en", "de", None, "fr")}
+    groups[None, True] = sorted(x for _, x in rows if x is not None)
+    assert got == {k: xs[math.ceil(0.995 * len(xs)) - 1] for k, xs in groups.items()}

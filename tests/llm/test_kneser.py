@@ -1,4 +1,5 @@
 import math
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -156,3 +157,26 @@ def test_thresholds_are_exact(spark):
     groups = {(k, False): sorted(x for l, x in rows if l == k and x is not None) for k in ("en", "de", None, "fr")}
     groups[None, True] = sorted(x for _, x in rows if x is not None)
     assert got == {k: xs[math.ceil(0.995 * len(xs)) - 1] for k, xs in groups.items()}
+
+
+def test_no_shuffle_files_are_left(spark, docs, words):
+    """What the fit and the scores shuffle is deleted as soon as each step has run."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    kneser.judged(docs, labels, max_docs=None)
+    before, until = held(), time.time() + 20
+    out = kneser.judged(docs, labels, max_docs=None)
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before and out.count() == docs.count()
+
+
+@pytest.mark.parametrize("passes", [1, 3])
+def test_parts_of_the_keys_give_the_same(spark, words, passes, monkeypatch):
+    df = spark.createDataFrame([(i, "en", words(i % 5, 30) + " the cat sat" * (i % 3)) for i in range(20)], "doc_id long, lang string, text string")
+    rows = lambda: sorted(map(repr, kneser.surprise(df, kneser.Lookup(spark, kneser.fitted(df.where("doc_id < 12")), 7)).collect()))
+    whole = rows()
+    monkeypatch.setattr(kneser, "PASSES", passes)
+    monkeypatch.setattr(kneser, "HOT_WORDS", 3)
+    assert rows() == whole

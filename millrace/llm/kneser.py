@@ -43,6 +43,8 @@ MAX_DOCS, MAX_BYTES, QUANTILE = 4_000, 32 << 20, 0.995
 HOT, FILTER_BITS, FILTER_MOST, SCALE = 1 << 21, 16, 1 << 28, 1 << 32
 #: Words sent to all tasks while fitting; parts of the keys that documents and the table are joined by, one after another.
 HOT_WORDS, PASSES = 1 << 18, 8
+#: Trigrams of the model in one row.
+PACK = 1 << 16
 #: Bits of the filter that meet in one task, as a power of two.
 STRETCH_BITS = 20
 SEED = 42
@@ -122,11 +124,60 @@ def fitted(docs: DataFrame) -> Model:
     gone = sum(d * c for d, c in zip(d1, off)) or 1.0
     unseen = gone / n / (k + 1)
     words = one.select("w", "times", ((F.col("n") - discount(F.col("n"), d1)) / n + unseen).alias("p1"))
-    return Model(with_words(three, words), words, unseen, d2, d3)
+    counts = [df.groupBy(F.col(c).alias("n")).agg(F.count(F.lit(1)).alias("k")) for df, c in ((three, "n"), (two, "times_vw"), (words, "times"))]
+    counts = common.staged(counts[0].unionAll(counts[1]).unionAll(counts[2]).groupBy("n").agg(F.sum("k").alias("k")), "counts")
+    return Model(with_words(three, words), words, counts, unseen, d2, d3)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers, not negative, byte by byte of their weight, as many bytes as the largest needs."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return x.view(np.uint8).reshape(-1, 8).T[:width].tobytes()
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    found = np.frombuffer(data, np.uint8).reshape(-1, n) if n else out.T[:0]
+    out[:, : len(found)] = found.T
+    return out.view("<i8").ravel()
+
+
+GRAM, COUNTS, FLAGS = ("u", "v", "w"), ("n", "c3", "t1", "t2", "t3", "n2", "times_vw", "c2", "s1", "s2", "s3", "times_v"), ("is_vw", "is_uv", "is_v")
+PACKED = "size long, hashes binary, p1s binary, " + ", ".join(f"{c} binary" for c in (*GRAM, *COUNTS, *FLAGS, "p1"))
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Up to about PACK trigrams a row: words by their place among the distinct ones, numbers by planes, flags by bits."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        col = {c: np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in (*GRAM, *COUNTS, *FLAGS, "p1")}
+        hashes, at = np.unique(np.concatenate([col[c] for c in GRAM]), return_inverse=True)
+        p1s, p1 = np.unique(col["p1"], return_inverse=True)
+        out = {"size": len(col["u"]), "hashes": hashes.tobytes(), "p1s": p1s.tobytes()}
+        out |= dict(zip(GRAM, map(planes, np.split(at, 3)))) | {c: planes(col[c]) for c in COUNTS}
+        out |= {c: np.packbits(col[c]).tobytes() for c in FLAGS} | {"p1": planes(p1)}
+        return pa.RecordBatch.from_pydict({c: pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int64()) for c, x in out.items()})
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= PACK:
+            yield pack(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pack(held)
+
+
+def unpacked(row: dict) -> dict[str, np.ndarray]:
+    n, hashes = row["size"], np.frombuffer(row["hashes"], np.uint64)
+    col = {c: hashes[from_planes(row[c], n)] for c in GRAM} | {c: from_planes(row[c], n) for c in COUNTS}
+    col |= {c: np.flatnonzero(np.unpackbits(np.frombuffer(row[c], np.uint8), count=n)) for c in FLAGS}
+    return col | {"p1": np.frombuffer(row["p1s"], np.float64)[from_planes(row["p1"], n)]}
 
 
 def with_words(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """rows with the p1 of their w, staged; rows themselves are dropped. The HOT_WORDS most frequent words are sent to all tasks; only rows
+    """rows with the p1 of their w, staged in packs (see packed); rows themselves are dropped. The HOT_WORDS most frequent words are sent to all tasks; only rows
     of others are shuffled to be joined."""
     top = Top.of(words.groupBy(F.col("times").alias("n")).agg(F.count(F.lit(1)).alias("k")), HOT_WORDS)
     is_top = top.column(F.col("w"), F.col("times"))
@@ -146,10 +197,11 @@ def with_words(rows: DataFrame, words: DataFrame) -> DataFrame:
             elif not which and not hit.all():
                 yield b.filter(pa.array(~hit))
 
-    schema = T.StructType([*rows.schema, T.StructField("p1", T.DoubleType())])
+    schema = T.StructType([*rows.schema, T.StructField("p1", T.DoubleType())])  # what known yields
     rest = rows.mapInArrow(lambda batches: known(batches, False), rows.schema).join(words.where(~is_top).select("w", "p1"), "w")
     with wide_batches(rows.sparkSession):
-        out = staged_parts([rows.mapInArrow(known, schema), rest.select(*schema.names)], "model")
+        parts = [rows.mapInArrow(lambda batches: packed(known(batches)), PACKED), rest.select(*schema.names).mapInArrow(packed, PACKED)]
+        out = staged_parts(parts, "model")
     common.dropped(rows)
     return out
 
@@ -190,9 +242,14 @@ def key(*parts: np.ndarray) -> np.ndarray:
     return total
 
 
-def entries(model: Model, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray], contexts: bool = True) -> DataFrame:
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+ENTRY = "key long, value long"
+
+
+def entries(model: Model, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray], contexts: bool = True, then: Batches | None = None, schema: str = ENTRY) -> DataFrame:
     """key, value: what n-grams and contexts of the model add to log10 p over an unseen word's, of those that chosen(keys, times) takes.
-    An n-gram is the context of what follows it, so a key may have two rows; both have the same times, how often it occurs in the text."""
+    An n-gram is the context of what follows it, so a key may have two rows; both have the same times, how often it occurs in the text.
+    then goes on with the batches in the same Python worker, and gives the schema."""
     rows, words, unseen, d2, d3 = model.rows, model.words, model.unseen, model.d2, model.d3
 
     def out(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -208,14 +265,14 @@ def entries(model: Model, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
     def of_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         less = lambda n, d: np.where(n == 1, d[0], np.where(n == 2, d[1], d[2]))
-        for b in batches:
-            col = {f: b.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(names)}
-            u, v, w = (col[c].view(np.uint64) for c in "uvw")
+        for row in (r for b in batches for r in b.to_pylist()):
+            col = unpacked(row)
+            u, v, w = (col[c] for c in GRAM)
             left2 = lambda i: (col["s1"][i] * d2[0] + col["s2"][i] * d2[1] + col["s3"][i] * d2[2]) / col["c2"][i]  # noqa: E731, B023
             left3 = lambda i: (col["t1"][i] * d3[0] + col["t2"][i] * d3[1] + col["t3"][i] * d3[2]) / col["c3"][i]  # noqa: E731, B023
             p2 = lambda i: (col["n2"][i] - less(col["n2"][i], d2)) / col["c2"][i] + left2(i) * col["p1"][i]  # noqa: E731, B023
             p3 = lambda i: (col["n"][i] - less(col["n"][i], d3)) / col["c3"][i] + left3(i) * p2(i)  # noqa: E731, B023
-            vw, uv, v1 = (np.flatnonzero(col[c]) for c in ("is_vw", "is_uv", "is_v"))
+            vw, uv, v1 = (col[c] for c in FLAGS)
             kinds = [
                 (np.arange(len(u)), lambda i: key(u[i], v[i], w[i]), "n", lambda i: np.log10(p3(i)) - np.log10(left3(i)) - np.log10(p2(i))),  # noqa: B023
                 (vw, lambda i: key(v[i], w[i]), "times_vw", lambda i: np.log10(p2(i)) - np.log10(left2(i)) - np.log10(col["p1"][i])),  # noqa: B023
@@ -230,9 +287,8 @@ def entries(model: Model, chosen: Callable[[np.ndarray, np.ndarray], np.ndarray]
                 parts.append((keys[at], value(i[at])))
             yield out(parts)
 
-    names = ("u", "v", "w", "n", "c3", "t1", "t2", "t3", "n2", "times_vw", "c2", "s1", "s2", "s3", "times_v", "p1", "is_vw", "is_uv", "is_v")
-    schema = "key long, value long"
-    return words.select("w", "times", "p1").mapInArrow(of_words, schema).unionAll(rows.select(*names).mapInArrow(of_trigrams, schema))
+    run = lambda f: f if then is None else lambda batches: then(f(batches))
+    return words.select("w", "times", "p1").mapInArrow(run(of_words), schema).unionAll(rows.mapInArrow(run(of_trigrams), schema))
 
 
 def scaled(x: np.ndarray) -> np.ndarray:
@@ -246,20 +302,25 @@ class Filter:
         """n: for how many keys there is to be room."""
         size = 1 << min(FILTER_MOST.bit_length() - 1, max(10, int((len(keys) if n is None else n) * FILTER_BITS).bit_length()))
         self.mask, self.bits = np.uint64(size - 1), np.zeros(size >> 3, np.uint8)
-        for at in self._places(keys):
+        for at in self._places(keys, self.mask):
             np.bitwise_or.at(self.bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
 
     @classmethod
-    def of(cls, keys: DataFrame, n: int | None = None) -> Filter:
-        """The filter of a table's only column of longs, made in the tasks: each sends the places of its keys, those of a stretch of the
-        filter meet, and the driver gets the bits, never the keys."""
-        out = cls(np.zeros(0, np.uint64), keys.count() if n is None else n)
+    def of(cls, keys: DataFrame) -> Filter:
+        return cls.made(keys.sparkSession, keys.mapInArrow, keys.count())
+
+    @classmethod
+    def made(cls, spark: SparkSession, mapped: Callable[[Batches, str], DataFrame], n: int) -> Filter:
+        """The filter of the n keys that a table's first column holds, made in the tasks: each sends the places of its keys, those of a stretch
+        of the filter meet, and the driver gets the bits, never the keys. mapped: mapInArrow over the table."""
+        out = cls(np.zeros(0, np.uint64), n)
+        mask = out.mask  # the tasks need no bits
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                at = np.unique(np.concatenate(list(out._places(b.column(0).to_numpy().view(np.uint64)))))
+                at = np.unique(np.concatenate(list(cls._places(b.column(0).to_numpy().view(np.uint64), mask))))
                 stretch = (at >> np.uint64(STRETCH_BITS)).astype(np.int64)
                 new = np.flatnonzero(np.diff(stretch, prepend=-1))
                 # Steps from place to place, byte by byte of their weight: mostly zeros but for the lowest.
@@ -275,22 +336,23 @@ class Filter:
                 np.bitwise_or.at(own, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
             return pa.table({"stretch": table["stretch"][:1], "bits": pa.array([own.tobytes()], pa.binary())})
 
-        with wide_batches(keys.sparkSession):
-            found = fetched(keys.mapInArrow(places, "stretch long, at binary").groupBy("stretch").applyInArrow(joined, "stretch long, bits binary"), "filter")
+        with wide_batches(spark):
+            found = fetched(mapped(places, "stretch long, at binary").groupBy("stretch").applyInArrow(joined, "stretch long, bits binary"), "filter")
         for stretch, bits in zip(found["stretch"].to_pylist(), found["bits"].to_pylist()):
             a = stretch << STRETCH_BITS >> 3
             part = out.bits[a : a + (1 << STRETCH_BITS >> 3)]
             part[:] = np.frombuffer(bits, np.uint8, len(part))
         return out
 
-    def _places(self, keys: np.ndarray) -> Iterator[np.ndarray]:
+    @staticmethod
+    def _places(keys: np.ndarray, mask: np.uint64) -> Iterator[np.ndarray]:
         for shift in (0, 18, 36):
-            yield (keys >> np.uint64(shift)) & self.mask
+            yield (keys >> np.uint64(shift)) & mask
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
         """Places of the keys that may be among those held."""
         found = np.arange(len(keys))
-        for at in self._places(keys):
+        for at in self._places(keys, self.mask):
             at = at[found]
             found = found[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
         return found
@@ -300,7 +362,8 @@ class Filter:
 def wide_batches(spark: SparkSession) -> Iterator[None]:
     """Batches of many narrow rows, still bounded by bytes, for what is planned within."""
     common.prepare(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(1 << 18))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     try:
         yield
     finally:
@@ -309,13 +372,14 @@ def wide_batches(spark: SparkSession) -> Iterator[None]:
 
 @dataclass
 class Model:
-    """rows: trigrams (u, v, w), how often they occur (n), how often their contexts do (c3 for u, v; c2, of distinct trigrams, for v) and how
+    """rows: packs (see packed) of trigrams (u, v, w), how often they occur (n), how often their contexts do (c3 for u, v; c2, of distinct trigrams, for v) and how
     many entries of these occur once, twice and more often (t1 to t3, s1 to s3); n2, the distinct words before (v, w); p1 of w; times_vw and
-    times_v, how often (v, w) and v occur; flags that mark one row of each (v, w), (u, v) and v. words: w, times, p1. unseen: the probability of a
+    times_v, how often (v, w) and v occur; flags that mark one row of each (v, w), (u, v) and v. words: w, times, p1. counts: k n-grams occur n times. unseen: the probability of a
     word never seen. d2, d3: discounts."""
 
     rows: DataFrame
     words: DataFrame
+    counts: DataFrame
     unseen: float
     d2: tuple[float, float, float]
     d3: tuple[float, float, float]
@@ -355,22 +419,20 @@ class Lookup:
 
     def __init__(self, spark: SparkSession, model: Model, hot: int | None = None):
         self.model = model
-        counts = [df.groupBy(F.col(c).alias("n")).agg(F.count(F.lit(1)).alias("k")) for df, c in ((model.rows, "n"), (model.rows.where("is_vw"), "times_vw"), (model.words, "times"))]
-        counts = common.staged(counts[0].unionAll(counts[1]).unionAll(counts[2]).groupBy("n").agg(F.sum("k").alias("k")), "counts")
-        self.top = top = Top.of(counts, HOT if hot is None else hot)
+        self.top = top = Top.of(model.counts, HOT if hot is None else hot)
         self.unseen = round(float(np.log10(model.unseen)) * SCALE)
+        start = np.array([START], np.uint64)
+        first = np.concatenate([key(start), key(start, start)])
         with wide_batches(spark):
-            held = fetched(entries(model, top.has).groupBy("key").agg(F.sum("value").alias("value")), "top")
+            held = entries(model, lambda keys, times: top.has(keys, times) | (keys == first[0]) | (keys == first[1]))
+            held = fetched(held.groupBy("key").agg(F.sum("value").alias("value")), "top")
         own, values = held["key"].to_numpy().view(np.uint64), held["value"].to_numpy()
         order = np.argsort(own)
         # What the first word's contexts leave, the same in each document.
-        start = np.array([START], np.uint64)
-        first = np.concatenate([key(start), key(start, start)])
-        begin = replace(model, rows=model.rows.where(F.col("v") == int(start.view(np.int64)[0])), words=model.words.limit(0))
-        self.first = entries(begin, lambda keys, _: np.isin(keys, first)).agg(F.sum("value")).first()[0] or 0
-        every = entries(model, lambda keys, _: np.ones(len(keys), bool), contexts=False).select("key")
-        n = counts.agg(F.sum("k")).first()[0] or 0
-        self.shared = spark.sparkContext.broadcast((Filter.of(every, n), own[order], values[order]))
+        self.first = int(values[np.isin(own, first)].sum())
+        every = lambda f, schema: entries(model, lambda keys, _: np.ones(len(keys), bool), False, f, schema)
+        n = model.counts.agg(F.sum("k")).first()[0] or 0
+        self.shared = spark.sparkContext.broadcast((Filter.made(spark, every, n), own[order], values[order]))
 
     def rest(self, part: int) -> DataFrame:
         top = self.top
@@ -389,7 +451,46 @@ def valued(keys: np.ndarray, model: tuple) -> tuple[np.ndarray, np.ndarray]:
     return out, at[~hit]
 
 
-PARTLY = "row long, doc_id long, lang string, n_words long, total long, keys binary, times binary"
+ASKED = {"size": pa.int64(), "owners": pa.binary(), "codes": pa.binary(), "hashes": pa.binary(), "flags": pa.binary()}
+PARTLY = "row long, doc_id long, lang string, n_words long, total long, size long, owners binary, codes binary, hashes binary, flags binary"
+
+
+def longer(before: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The keys of n-grams with one more word."""
+    return mixed(before * np.uint64(0x9E3779B97F4A7C15) + x)
+
+
+def asked(flat: np.ndarray, hashed: np.ndarray, owner: np.ndarray, start: np.ndarray, ends: list[np.ndarray]) -> dict:
+    """What a batch asks of the joined table, packed: ends has the places where such words, bigrams and trigrams end. Their words are
+    kept rather than their keys, as neighbours share them."""
+    is_start, need = np.zeros(len(flat), bool), np.zeros(len(flat), bool)
+    is_start[start] = True
+    for longest, e in enumerate(ends):
+        need[e] = True
+        for _ in range(longest):
+            e = e[~is_start[e]] - 1
+            need[e] = True
+    at = np.flatnonzero(need)
+    codes, code = np.unique(flat[at], return_inverse=True)
+    flags = [is_start[at], *(np.isin(at, e, assume_unique=True) for e in ends)]
+    return {
+        "size": len(at), "owners": planes(np.diff(owner[at], prepend=0)), "codes": planes(code), "hashes": hashed[codes].tobytes(),
+        "flags": np.packbits(np.concatenate(flags)).tobytes(),
+    }
+
+
+def asked_keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of one pack: each key asked, and the number of its row."""
+    n = row["size"]
+    flags = np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=4 * n).astype(bool).reshape(4, n)
+    rows = row["row"] + np.cumsum(from_planes(row["owners"], n))
+    w = np.frombuffer(row["hashes"], np.uint64)[from_planes(row["codes"], n)]
+    keys = [key(w)]
+    for start in (key(np.array([START], np.uint64)), key(*[np.array([START], np.uint64)] * 2)):
+        before = np.concatenate([start, keys[-1][:-1]])
+        before[flags[0]] = start
+        keys.append(longer(before, w))
+    return np.concatenate([k[f] for k, f in zip(keys, flags[1:])]), np.concatenate([rows[f] for f in flags[1:]])
 
 
 def surprise(docs: DataFrame, model: Lookup) -> DataFrame:
@@ -407,45 +508,37 @@ def surprise(docs: DataFrame, model: Lookup) -> DataFrame:
             w = np.append(hashes(distinct), np.uint64(END))
             owner, start = common.owners(sizes), np.cumsum(sizes) - sizes
             once, rest1 = valued(key(w), shared.value)
-            step = lambda before, x: mixed(before * np.uint64(0x9E3779B97F4A7C15) + x)
-            k1, w = key(w)[flat], w[flat]
+            hashed, k1, w = w, key(w)[flat], w[flat]
             s1 = key(np.array([START], np.uint64))
-            k2 = step(np.concatenate([s1, k1[:-1]]), w)
-            k2[start] = step(np.repeat(s1, len(start)), w[start])
-            s2 = step(s1, np.array([START], np.uint64))
-            k3 = step(np.concatenate([s2, k2[:-1]]), w)
-            k3[start] = step(np.repeat(s2, len(start)), w[start])
+            k2 = longer(np.concatenate([s1, k1[:-1]]), w)
+            k2[start] = longer(np.repeat(s1, len(start)), w[start])
+            s2 = longer(s1, np.array([START], np.uint64))
+            k3 = longer(np.concatenate([s2, k2[:-1]]), w)
+            k3[start] = longer(np.repeat(s2, len(start)), w[start])
             (v2, rest2), (v3, rest3) = valued(k2, shared.value), valued(k3, shared.value)
             total = common.sums(once[flat] + v2 + v3, sizes) + sizes * unseen + first
             may = np.zeros(len(distinct) + 1, bool)
             may[rest1] = True
-            own1 = np.flatnonzero(may[flat])
-            at, keys = np.concatenate([owner[own1], owner[rest2], owner[rest3]]), np.concatenate([k1[own1], k2[rest2], k3[rest3]])
-            order = np.lexsort((keys, at))
-            at, keys = at[order], keys[order]
-            new = np.flatnonzero((np.diff(at, prepend=-1) != 0) | np.concatenate([[True], keys[1:] != keys[:-1]])[: len(at)])
-            times = np.diff(np.append(new, len(at)))
-            at, keys = at[new], keys[new]
-            cuts = np.searchsorted(at, np.arange(len(counts) + 1)).tolist()
-            part = lambda x, kind: pa.array([x[a:e].astype(kind).tobytes() for a, e in zip(cuts, cuts[1:])], pa.binary())
-            yield pa.RecordBatch.from_pydict({
-                "row": row + np.arange(len(counts)), "doc_id": b.column(0), "lang": b.column(1), "n_words": counts, "total": total,
-                "keys": part(keys, "<u8"), "times": part(times, "<u4"),
-            })
+            found = asked(flat, hashed, owner, start, [np.flatnonzero(may[flat]), rest2, rest3])
+            # The first row of a batch carries what all ask.
+            packs = {c: pa.array([found[c] if i == 0 and found["size"] else None for i in range(len(counts))], kind) for c, kind in ASKED.items()}
+            yield pa.RecordBatch.from_pydict({"row": row + np.arange(len(counts)), "doc_id": b.column(0), "lang": b.column(1), "n_words": counts, "total": total, **packs})
             row += len(counts)
 
-    def unpacked(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys = [np.frombuffer(x, "<i8") for x in b.column(1).to_pylist()]
-            times = np.concatenate([np.frombuffer(x, "<u4") for x in b.column(2).to_pylist()])
-            rows = np.repeat(b.column(0).to_numpy(), [len(k) for k in keys])
-            keys = np.concatenate(keys)
-            own = keys.view(np.uint64) % np.uint64(PASSES) == part
-            yield pa.RecordBatch.from_pydict({"row": rows[own], "key": keys[own], "times": times[own].astype(np.int64)})
+    def requests(batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        """row, key and how often, of one part of the keys."""
+        for r in (r for b in batches for r in b.to_pylist()):
+            keys, rows = asked_keys(r)
+            own = keys % np.uint64(PASSES) == part
+            keys, rows = keys[own], rows[own]
+            order = np.lexsort((keys, rows))
+            keys, rows = keys[order], rows[order]
+            new = np.flatnonzero((np.diff(rows, prepend=-1) != 0) | np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+            yield pa.RecordBatch.from_pydict({"row": rows[new], "key": keys[new].view(np.int64), "times": np.diff(np.append(new, len(keys)))})
 
     def answered(part: int) -> DataFrame:
-        asked = partly.where("octet_length(keys) > 0").select("row", "keys", "times").mapInArrow(lambda x: unpacked(x, part), "row long, key long, times long")
-        return asked.join(model.rest(part), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
+        wanted = partly.where("size > 0").select("row", *ASKED).mapInArrow(lambda x: requests(x, part), "row long, key long, times long")
+        return wanted.join(model.rest(part), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("more"))
 
     common.prepare(docs.sparkSession)
     # Written once: the numbers of rows hold from then on.
@@ -455,7 +548,7 @@ def surprise(docs: DataFrame, model: Lookup) -> DataFrame:
     with wide_batches(docs.sparkSession):
         more = staged_parts(map(answered, range(PASSES)), "more").groupBy("row").agg(F.sum("more").alias("more"))
     total = F.col("total") + F.coalesce(F.col("more"), F.lit(0))
-    return partly.drop("keys", "times").join(more, "row", "left").select("doc_id", "lang", "n_words", (total.cast("double") / SCALE).alias("log10_prob"))
+    return partly.drop(*ASKED).join(more, "row", "left").select("doc_id", "lang", "n_words", (total.cast("double") / SCALE).alias("log10_prob"))
 
 
 def trusted(labels: DataFrame) -> DataFrame:

@@ -613,10 +613,18 @@ def judged(docs: DataFrame, labels: DataFrame, max_docs: int | None = MAX_DOCS,
     """doc_id, lang, n_words, log10_prob, perplexity, threshold, kept: one row for each document. With max_docs None the model is
     fitted on the whole fold."""
     with swept(docs.sparkSession):
-        return _judged(docs, trusted(labels.withColumn("doc_id", F.col("doc_id").cast("long"))), max_docs, quantile)
+        rows, at = _scored(docs, trusted(labels.withColumn("doc_id", F.col("doc_id").cast("long"))), max_docs, quantile)
+    # What the caller may run more than once isn't swept.
+    by_lang = at.where("NOT whole").select(F.col("lang").alias("of"), "threshold")
+    overall = at.where("whole").agg(F.max("threshold").alias("overall"))
+    out = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(overall))  # one row
+    threshold = F.coalesce("threshold", "overall", F.lit(float("inf")))
+    kept = F.coalesce(F.col("perplexity") <= threshold, F.lit(False))
+    return out.select("doc_id", "lang", "n_words", "log10_prob", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
 
 
-def _judged(docs: DataFrame, good: DataFrame, max_docs: int | None, quantile: float) -> DataFrame:
+def _scored(docs: DataFrame, good: DataFrame, max_docs: int | None, quantile: float) -> tuple[DataFrame, DataFrame]:
+    """The documents with their perplexity, and the thresholds; both staged."""
     half = good.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     if max_docs is None:
         sample = common.staged(half, "sample")
@@ -629,9 +637,4 @@ def _judged(docs: DataFrame, good: DataFrame, max_docs: int | None, quantile: fl
     common.dropped(model.model.rows)
     rest = rows.join(good.join(sample, "doc_id", "left_anti"), "doc_id", "left_semi")
     at = common.staged(thresholds(rest, quantile), "thresholds")
-    by_lang = at.where("NOT whole").select(F.col("lang").alias("of"), "threshold")
-    overall = at.where("whole").agg(F.max("threshold").alias("overall"))
-    out = rows.join(by_lang, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(overall))  # one row
-    threshold = F.coalesce("threshold", "overall", F.lit(float("inf")))
-    kept = F.coalesce(F.col("perplexity") <= threshold, F.lit(False))
-    return out.select("doc_id", "lang", "n_words", "log10_prob", "perplexity", threshold.alias("threshold"), kept.alias("kept"))
+    return rows, at

@@ -159,17 +159,23 @@ def test_thresholds_are_exact(spark):
     assert got == {k: xs[math.ceil(0.995 * len(xs)) - 1] for k, xs in groups.items()}
 
 
-def test_no_shuffle_files_are_left(spark, docs, words):
-    """What the fit and the scores shuffle is deleted as soon as each step has run."""
+def test_shuffle_files_are_swept(spark):
+    """What a staged step shuffles is deleted as soon as the step has run."""
     manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     held = lambda: {f for f in manager.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
-    kneser.judged(docs, labels, max_docs=None)
-    before, until = held(), time.time() + 20
-    out = kneser.judged(docs, labels, max_docs=None)
+    before = held()
+    with kneser.swept(spark):
+        out = kneser.fetched(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "swept")
+    until = time.time() + 20
     while held() - before and time.time() < until:
         time.sleep(0.2)
-    assert not held() - before and out.count() == docs.count()
+    assert not held() - before and out.num_rows == 7
+
+
+def test_result_can_be_run_twice(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    out = kneser.judged(docs, labels, max_docs=None)
+    assert len(out.collect()) == len(out.collect()) == docs.count()
 
 
 @pytest.mark.parametrize("passes", [1, 3])

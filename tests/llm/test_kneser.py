@@ -186,3 +186,37 @@ def test_parts_of_the_keys_give_the_same(spark, words, passes, monkeypatch):
     monkeypatch.setattr(kneser, "PASSES", passes)
     monkeypatch.setattr(kneser, "HOT_WORDS", 3)
     assert rows() == whole
+
+
+def test_frequent_finds_what_halving_finds():
+    """Frequent keys are looked up by their highest bits: also where many share them, at both ends, and with none held."""
+    rng = np.random.default_rng(3)
+    own = np.unique(np.concatenate([kneser.mixed(np.arange(5000, dtype=np.uint64)), np.arange(40, dtype=np.uint64), ~np.arange(40, dtype=np.uint64)]))
+    values = rng.integers(-9, 9, len(own))
+    asked = np.concatenate([own, kneser.mixed(np.arange(4000, 9000, dtype=np.uint64)), np.arange(80, dtype=np.uint64)])
+    for n in (len(own), 1, 0):
+        order = rng.permutation(n)
+        found = kneser.Frequent(own[:n][order], values[:n][order])
+        at, places = found.find(asked)
+        expected = {int(k): int(v) for k, v in zip(own[:n], values[:n])}
+        assert {int(i): int(found.values[p]) for i, p in zip(at, places)} == {i: expected[int(k)] for i, k in enumerate(asked) if int(k) in expected}
+
+
+def test_parts_ask_each_key_once():
+    """What a pack asks of the parts is together what it asks of one, and no key is hashed for another part than its own."""
+    flat, hashed = np.array([0, 1, 0, 2, 3, 3]), kneser.hashes([b"a", b"b", b"c", b"d"])
+    row = {"row": 5, **kneser.asked(flat, hashed, np.array([0, 0, 0, 0, 1, 1]), np.array([0, 4]), [np.array([0, 5]), np.array([1, 4]), np.array([0, 3, 5])])}
+    pairs = lambda part, parts: sorted(zip(*(x.tolist() for x in kneser.asked_keys(row, part, parts))))
+    s, (a, b, c, d) = np.uint64(kneser.START), hashed
+    grams = [((a,), 5), ((d,), 6), ((a, b), 5), ((s, d), 6), ((s, s, a), 5), ((b, a, c), 5), ((s, d, d), 6)]
+    expected = sorted((int(kneser.key(*(np.array([x], np.uint64) for x in g))[0]), r) for g, r in grams)
+    assert pairs(0, 1) == expected == sorted(x for part in range(3) for x in pairs(part, 3))
+
+
+def test_what_is_sent_is_freed(spark, words):
+    """After the documents are scored neither the filter nor packs without p1 are held on disk; a second scoring gives the same."""
+    df = spark.createDataFrame([(i, "en", words(i % 5, 30)) for i in range(12)], "doc_id long, lang string, text string")
+    model = kneser.Lookup(spark, kneser.fitted(df), 7)
+    first = sorted(map(repr, kneser.surprise(df, model).collect()))
+    assert model.shared is None
+    assert sorted(map(repr, kneser.surprise(df, model).collect())) == first
